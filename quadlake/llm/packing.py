@@ -108,8 +108,8 @@ def _pack(path: str, window: int, most: int):
         for batch in batches:
             for part in slices(batch, 256):
                 values = [x.decode("utf-8", "replace") for x in texts(part.column("text"))]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), cache.batch(values, True), strict=True):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
+                for doc, ids in zip(part.column("doc_id").to_pylist(), cache.batch(values), strict=True):
+                    ids = np.append(ids.astype("<u4"), np.array([END], "<u4"))
                     packer.add(doc, 0, ids, len(ids))
                 if len(packer.done) >= 4096:
                     yield packer.take()

@@ -8,17 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.llm import license as licenses
-from quadlake.llm import maxscore, media, packing, tokens, toxicity, warc
+from quadlake.llm import jaccard, maxscore, media, packing, pieces, suffix, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokens.count_tokens(spark, table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -36,6 +44,10 @@ def op7_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -46,8 +58,15 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op4_token_counts, op5_toxicity, op6_media_columns, op7_maxscore_topk, op9_packing, op10_warc_salvage)}
+    own = (op1_suffix_dedup, op2_license_scan, op3_sentencepiece, op4_token_counts, op5_toxicity, op6_media_columns, op7_maxscore_topk, op8_ngram_jaccard, op9_packing, op10_warc_salvage, pipeline)
+    return {f.__name__: f for f in own}
 
 
 _B32 = " || ".join(

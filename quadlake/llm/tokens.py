@@ -18,17 +18,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import scratch, slices, text_of, texts, written
+from quadlake.llm.common import slices, text_of, texts, written
 
 #: Characters for which NFC, lower-casing by character and white space agree everywhere.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-˿]")
+_LATIN = {k: "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+#: The tokenizer's words, for these characters.
+_WORD = re.compile("'(?:[stmd]|re|ve|ll)|[{L}]+|[{N}]|[^\\s{L}{N}]+".format(**_LATIN))
 
 _loaded: dict[str, WordCache] = {}
 
@@ -48,74 +53,120 @@ def version_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
-class WordCache:
-    """Ids of texts by the ``tokenizers`` library, chunk by chunk."""
+class _Index(dict):
+    """Numbers chunks as they are first met; ``new`` has those since it was last emptied."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self):
+        self.new: list[str] = []
 
-        self.library, self.most = Tokenizer.from_file(path), most
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = i = len(self)
+        self.new.append(chunk)
+        return i
+
+
+class ChunkStore:
+    """Ids of text chunks, each encoded once; emptied when it holds more than ``most`` chunks."""
+
+    def __init__(self, kind: type, most: int):
+        self.kind, self.most = kind, most
         self.clear()
 
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and the number of each chunk's."""
+        raise NotImplementedError
+
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.counts = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.ids = np.zeros(1 << 18, self.kind)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        first = len(self.index)
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int32, len(found))
-        total = int(counts.sum())
-        while len(self.counts) < first + len(words):
+    def _learn(self) -> None:
+        chunks, self.index.new = self.index.new, []
+        first = len(self.index) - len(chunks)
+        try:
+            ids, counts = self.encode_chunks(chunks)
+        except BaseException:
+            self.clear()
+            raise
+        while len(self.counts) < len(self.index):
             self.counts, self.starts = np.resize(self.counts, 2 * len(self.counts)), np.resize(self.starts, 2 * len(self.starts))
-        while len(self.ids) < self.used + total:
+        while len(self.ids) < self.used + len(ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        here = slice(first, first + len(words))
+        here = slice(first, first + len(chunks))
         self.counts[here] = counts
         self.starts[here] = self.used + np.cumsum(counts) - counts
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), self.ids.dtype, total)
-        self.used += total
-        self.index.update(zip(words, range(first, first + len(words)), strict=True))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def places(self, parts: list[list[str]]) -> np.ndarray:
+        """Places of all parts' chunks in the store, which learns those it lacks."""
+        n = sum(map(len, parts))
+        out = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int32, n)
+        if self.index.new:
+            self._learn()
+        return out
+
+    def joined(self, parts: list[list[str]]) -> list[np.ndarray]:
+        """The ids of each part's chunks in a row."""
+        places = self.places(parts)
+        counts = self.counts[places]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[places] - ends[:-1], counts)]
+        cuts = ends[np.cumsum([0, *map(len, parts)])].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _words(self, chunks: list[str]) -> np.ndarray:
-        """Places of the chunks in the cache."""
-        get = self.index.get
-        try:
-            return np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(chunks) if get(w) is None])
-            return np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+
+class WordCache(ChunkStore):
+    """Ids of texts by the ``tokenizers`` library, chunk by chunk.
+
+    A chunk is cut to words as the library's pre-tokenizer does it, and the library's model
+    encodes each distinct word once.
+    """
+
+    def __init__(self, path: str, most: int = 800_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Latin characters as the byte level writes them.
+        self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x300) if chr(c) not in "\x85\xa0"}
+        super().__init__(np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32, most)
+
+    def clear(self) -> None:
+        super().clear()
+        self.words: dict[str, list[int]] = {}
+
+    def _word(self, word: str) -> list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.written))]
+        return ids
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > self.most // 4:
+            self.words = {}
+        word = self._word
+        found = [[i for w in _WORD.findall(c) for i in word(w)] for c in chunks]
+        counts = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter(chain.from_iterable(found), self.kind, int(counts.sum())), counts
 
     def _plain(self, text: str) -> bool:
-        return "<|" not in text and (text.isascii() and text.isprintable() or not _OTHER.search(text))
+        return "<|" not in text and not _OTHER.search(text)
 
-    def _whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def batch(self, values: list[str], want_ids: bool) -> list:
-        """Of each text its ids as an array, or their number."""
+    def batch(self, values: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.index) > self.most:
             self.clear()
         plain = [self._plain(x) for x in values]
-        parts = [x.lower().split() if ok else [] for x, ok in zip(values, plain, strict=True)]
-        places = self._words([w for p in parts for w in p])
-        out, at = [], 0
-        for text, ok, part in zip(values, plain, parts, strict=True):
-            own, at = places[at : at + len(part)], at + len(part)
-            if not ok:
-                ids = self._whole(text)
-                out.append(np.array(ids, np.uint32) if want_ids else len(ids))
-            elif not want_ids:
-                out.append(int(self.counts[own].sum()))
-            else:
-                counts = self.counts[own]
-                begin = np.cumsum(counts) - counts
-                take = np.arange(int(counts.sum())) + np.repeat(self.starts[own] - begin, counts)
-                out.append(self.ids[take].astype(np.uint32))
-        return out
+        out = self.joined([x.lower().split() if ok else [] for x, ok in zip(values, plain, strict=True)])
+        return [x if ok else self._whole(text) for text, ok, x in zip(values, plain, out, strict=True)]
 
 
 def word_cache(path: str) -> WordCache:
@@ -130,7 +181,7 @@ def _count(path: str):
         cache = word_cache(path)
         for batch in batches:
             for part in slices(batch, 256):
-                counts = cache.batch([x.decode("utf-8", "replace") for x in texts(part.column("text"))], False)
+                counts = [len(x) for x in cache.batch([x.decode("utf-8", "replace") for x in texts(part.column("text"))])]
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return run
@@ -166,6 +217,5 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str | None = None,
         fresh.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
         counts = stored.unionByName(fresh)
     else:
-        path = f"{scratch(spark)}/token-cache-{tokenizer[:12]}"
         counts = fresh
     return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
