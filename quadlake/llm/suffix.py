@@ -146,6 +146,24 @@ class RunLengthIndex:
         return found
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def _pack(keys: np.ndarray, ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, body: bytes) -> bytes:
+    """Columns of contexts in order of ids; byte by byte, as that compresses well."""
+    steps = np.diff(ids, prepend=0)
+    whole = [np.ascontiguousarray(x.astype("<i8").view("<u1").reshape(-1, 8).T).tobytes() for x in (steps, starts)]
+    data = b"".join([keys.astype("<u8").tobytes(), rids.astype("<i4").tobytes(), *whole, sizes.tobytes(), body])
+    return np.array([len(keys), len(data)], "<i8").tobytes() + _ZSTD.compress(data, asbytes=True)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    n, size = np.frombuffer(data, "<i8", 2).tolist()
+    raw = _ZSTD.decompress(data[16:], size, asbytes=True)
+    steps, starts = (np.ascontiguousarray(np.frombuffer(raw, "<u1", 8 * n, at).reshape(8, n).T).view("<i8").ravel() for at in (12 * n, 20 * n))
+    return np.frombuffer(raw, "<u8", n), np.cumsum(steps), np.frombuffer(raw, "<i4", n, 8 * n).astype(np.int64), starts, np.frombuffer(raw, "<u1", n, 28 * n).astype(np.int64), raw[29 * n :]
+
+
 _PART = "bucket int, doc_id long, rid long, data binary"
 _SPANS = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("spans", pa.binary())])
 
@@ -184,16 +202,15 @@ def _contexts(buckets: int):
             where, parts = by_bucket(key[rest], buckets)
             for b, lo, hi in parts:
                 at = rest[where[lo:hi]]
+                at = at[np.argsort(ids[doc[at]], kind="stable")]
                 n = (end[at] - start[at]).astype("<u1")
-                head = np.array([len(at)], "<i8").tobytes()
-                rid = np.array([table[i][1] for i in doc[at].tolist()], "<i8")
                 body = b"".join([table[i][2][s:e] for i, s, e in zip(doc[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True)])
-                out.append((b, None, None, head + key[at].astype("<u8").tobytes() + ids[doc[at]].astype("<i8").tobytes() + rid.tobytes() + start[at].astype("<i8").tobytes() + n.tobytes() + body))
+                out.append((b, None, None, _pack(key[at], ids[doc[at]], np.array([table[i][1] for i in doc[at].tolist()], np.int64), start[at], n, body)))
             return _rows(out)
 
         for batch in batches:
             for part in slices(batch):
-                for doc, rid, bits, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "rid", "bits")), texts(part.column("text")), strict=True):
+                for doc, rid, bits, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "_rid", "bits")), texts(part.column("text")), strict=True):
                     keys, first, last, sums = chosen(text)
                     on = np.flatnonzero(marked(keys, bits))
                     a, b = first[on], last[on] + LENGTH
@@ -215,12 +232,10 @@ def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if doc is not None:
             out_doc.append(doc), out_rid.append(rid), out.append(data)
             continue
-        n = int(np.frombuffer(data, "<i8", 1)[0])
-        k, d, r, s = (np.frombuffer(data, t, n, 8 + 8 * n * i) for i, t in enumerate(("<u8", "<i8", "<i8", "<i8")))
-        z = np.frombuffer(data, "<u1", n, 8 + 32 * n).astype(np.int64)
-        at = 8 + 33 * n + np.concatenate([[0], np.cumsum(z)])
+        k, d, r, s, z, body = _unpack(data)
+        at = np.concatenate([[0], np.cumsum(z)])
         keys.append(k), ids.append(d), rids.append(r), starts.append(s), sizes.append(z)
-        texts_ += [data[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        texts_ += [body[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if keys:
         k, d, r, s, z = map(np.concatenate, (keys, ids, rids, starts, sizes))
@@ -290,15 +305,16 @@ def kept_bytes(text: bytes, spans: np.ndarray) -> bytes:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with columns n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "_spans", "_rid")]
-    source = docs.select(*(text_of().alias("text") if c == "text" else F.col(f"`{c}`") for c in names)).withColumn("_rid", F.xxhash64("text"))
+    source = docs.select(*(text_of().alias("text") if c == "text" else F.col(f"`{c}`") for c in names)).withColumn("_rid", F.hash("text").cast("long"))
     buckets = 4 * parallelism(docs.sparkSession)
     bits = shared_bits(source.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("_rid").alias("rid"), "text"), gram_keys)
-    # The documents are dealt out by id and text once; both joins read that exchange.
-    found = source.join(bits.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "bits"), (F.col("doc_id") == F.col("_d")) & (F.col("_rid") == F.col("_r")))
-    found = found.select("doc_id", F.col("_rid").alias("rid"), "bits", "text").mapInArrow(_contexts(buckets), _PART)
+    # The documents are dealt out by id and text once: both joins have the same keys and columns,
+    # so that the second reads the first one's exchange.
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_rid").eqNullSafe(F.col("_r"))
+    found = source.join(bits.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "bits"), same).mapInArrow(_contexts(buckets), _PART)
     spans = found.groupBy("bucket").applyInArrow(_resolve, "doc_id long, rid long, spans binary")
     spans = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("_spans")).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "_spans")
-    joined = source.join(spans, (F.col("doc_id") == F.col("_d")) & (F.col("_rid") == F.col("_r")), "left").select(*(F.col(f"`{c}`") for c in names), "_spans")
+    joined = source.join(spans, same, "left").select(*(F.col(f"`{c}`") for c in names), "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
