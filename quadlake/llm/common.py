@@ -68,6 +68,17 @@ def slices(batch: pa.RecordBatch, rows: int = 512):
         yield batch.slice(at, rows)
 
 
+_zstd = pa.Codec("zstd", compression_level=1)
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _zstd.compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return _zstd.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 over a uint64 array."""
     with np.errstate(over="ignore"):

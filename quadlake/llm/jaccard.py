@@ -3,17 +3,18 @@
 Documents are sets of hashed word shingles. Equal sets are one class, found by a digest; its
 least document stands for it. Two sets of similarity ``PERCENT`` share one of the first
 n - ceil(s * n) + 1 elements of an order that is the same for all (hashes ascending, with
-elements that are common in a bounded sample last; the sample decides only the order).
-``shared_bits`` finds who shares such an element at all; only those documents go on.
+elements that are common in a bounded sample last; the sample decides only the order), and
+k of the first n - ceil(s * n) + k. ``shared_bits`` finds which of these elements others have,
+too; only documents with k of them go on (k follows from the size, see ``least_shared``).
 
 Tiles are the documents that hold one element, sorted by size. Within a tile, sizes must lie in
 one band (ratio >= s), and the signatures (a bit for the parity of the elements hashed to it) must
-leave enough overlap: the bits in which two differ are at least as many elements that only one
-has. Pairs that pass are intersected exactly, as sorted arrays.
+leave enough overlap: at least as many elements are in only one set as bits differ. Pairs that pass are intersected exactly, as sorted arrays.
 
-Near copies need not be expanded into all pairs. First each document is paired with the
-least one that passes in its tiles only; these links give groups. Then all pairs that pass
-and lie in different groups are tested. What links is the union of both.
+Near copies are not expanded into all pairs. In a tile, each document is paired with the least
+one that passes (its star), and with all that pass in other stars. If the pairs of a star all
+link, so do its members among themselves, in one class. The members of stars with a pair that
+does not link go through their tiles once more, where all pairs between groups are tested.
 
 Defined results: null text is empty; documents without words have an empty set and link with
 nothing; with fewer words than the shingle's the whole sequence is the one shingle; rows of one
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import parallelism, prefix_hash, slices, span_hash, text_of, texts, written
+from quadlake.llm.common import parallelism, prefix_hash, slices, span_hash, squeezed, text_of, texts, unsqueezed, written
 from quadlake.llm.components import components
 from quadlake.llm.shared import by_bucket, marked, shared_bits
 
@@ -41,6 +42,7 @@ WORDS, PERCENT = 5, 80
 SAMPLE, COMMON = 1000, 0.005
 #: Signature bits: the least power of two above the set's size, within these.
 LEAST_BITS, MOST_BITS = 512, 1 << 16
+MOST_SHARED = 16
 HELD = 16 << 20
 
 
@@ -59,13 +61,46 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(span_hash(prefix_hash(data), start, end))
 
 
+def least_shared(n: int) -> int:
+    """How many of its first elements a set of n elements has in common with any similar set
+    of at least n elements: so many are added to the first elements, beyond the first one."""
+    return max(1, min(MOST_SHARED, n // 8))
+
+
+def in_order(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A set in the order that is the same for all: common elements last."""
+    if not len(common):
+        return elements
+    late = np.isin(elements, common)
+    return np.concatenate([elements[~late], elements[late]])
+
+
 def prefix(elements: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first elements of a set, one of which every similar set has among its first."""
+    """The first elements of a set: of two similar sets, the first ``least_shared`` common elements
+    (of the smaller set's number) are in both sets' first elements."""
     n = len(elements)
-    if len(common):
-        late = np.isin(elements, common)
-        elements = np.concatenate([elements[~late], elements[late]])
-    return elements[: n + (-percent * n) // 100 + 1] if n else elements
+    return in_order(elements, common)[: n + (-percent * n) // 100 + least_shared(n)] if n else elements
+
+
+def tile_keys(shared: np.ndarray, n: int, percent: int = PERCENT) -> np.ndarray:
+    """The keys by which a document enters tiles, from the first elements that others have too.
+
+    It has at least k = least_shared(its least similar size) in common with any similar set;
+    the first of those is not among its last k - 1 shared elements, nor among the other's."""
+    k = least_shared(-(-percent * n // 100))
+    return shared[: max(0, len(shared) - k + 1)]
+
+
+def packed(elements: np.ndarray) -> bytes:
+    """The low 40 bits of hashes, sorted, in 5 bytes each."""
+    low = np.sort(elements & np.uint64((1 << 40) - 1))
+    return low.astype("<u8").view("<u1").reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 def signature(elements: np.ndarray, bits: int) -> np.ndarray:
@@ -142,8 +177,11 @@ def _sets(words: int, common: np.ndarray, percent: int):
                 for doc, bits, text in zip(part.column("doc_id").to_pylist(), part.column("bits").to_pylist(), texts(part.column("text")), strict=True):
                     own = shingles(text, words)
                     first = prefix(own, common, percent)
-                    keys = first[marked(first, bits)]
-                    rows.append((doc, len(own), own.tobytes(), signature(own, bits_of(len(own))).tobytes(), keys.tobytes()))
+                    keys = tile_keys(first[marked(first, bits)], len(own), percent)
+                    if len(keys):
+                        rows.append((doc, len(own), packed(own), signature(own, bits_of(len(own))).tobytes(), keys.tobytes()))
+                if not rows:
+                    continue
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["doc_id", "n", "elements", "signature", "keys"])
 
@@ -165,10 +203,9 @@ def _deal(buckets: int):
             for b, lo, hi in parts:
                 at = where[lo:hi]
                 own, place = np.unique(doc[at], return_inverse=True)
-                table = np.array([held[i][:3] for i in own], "<i8")
-                words = [held[i][3] for i in own]
-                head = np.array([len(own), len(at)], "<i8").tobytes()
-                out.append((b, head + table.tobytes() + keys[at].astype("<u8").tobytes() + place.astype("<u4").tobytes() + b"".join(words)))
+                table = np.array([held[i][:3] for i in own], "<i8").view("<u1").reshape(len(own), 24).T
+                data = b"".join([np.ascontiguousarray(table).tobytes(), keys[at].astype("<u8").tobytes(), place.astype("<u4").tobytes(), *(held[i][3] for i in own)])
+                out.append((b, np.array([len(own), len(at)], "<i8").tobytes() + squeezed(data)))
             held, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["bucket", "data"])
 
@@ -190,10 +227,11 @@ class _Tiles:
     def __init__(self, blobs: list[bytes], percent: int):
         self.percent = percent
         tables, keys, places, words, base = [], [], [], [], 0
-        for data in blobs:
-            d, e = np.frombuffer(data, "<i8", 2).tolist()
-            table = np.frombuffer(data, "<i8", 3 * d, 16).reshape(d, 3)
-            at = 16 + 24 * d
+        for blob in blobs:
+            d, e = np.frombuffer(blob, "<i8", 2).tolist()
+            data = unsqueezed(blob[16:])
+            table = np.ascontiguousarray(np.frombuffer(data, "<u1", 24 * d).reshape(24, d).T).view("<i8").reshape(d, 3)
+            at = 24 * d
             keys.append(np.frombuffer(data, "<u8", e, at))
             places.append(np.frombuffer(data, "<u4", e, at + 8 * e).astype(np.int64) + base)
             at += 12 * e
@@ -230,88 +268,101 @@ class _Tiles:
             ok[i] = int(np.bitwise_count(folded(x, bits) ^ folded(y, bits)).sum()) <= most(i)
         return ok
 
-    def _steps(self, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of documents of a tile within one size band and not in one group, a bounded number at a time."""
-        group = self.group[self.place]
+    def _steps(self, group: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of documents of a tile within one size band and of different groups, a bounded
+        number at a time; ``group`` is given for each entry of the tiles."""
         differ = np.maximum.reduceat(group, self.begin) != np.minimum.reduceat(group, self.begin)
         for lo, size in zip(self.begin[differ].tolist(), self.size[differ].tolist(), strict=True):
-            own = self.place[lo : lo + size]
+            own, g = self.place[lo : lo + size], group[lo : lo + size]
             n = self.n[own]
-            # The last of the tile that is in the band of each.
-            end = np.searchsorted(n * self.percent, n * 100, "right")
-            count = end - np.arange(size) - 1
+            # How many of the tile follow in the band of each.
+            count = np.searchsorted(n * self.percent, n * 100, "right") - np.arange(size) - 1
+            sums = np.concatenate([[0], np.cumsum(count)])
             i = 0
             while i < size:
-                j = max(i + 1, int(np.searchsorted(np.cumsum(count[i:]), most)) + i)
+                j = max(i + 1, int(np.searchsorted(sums, sums[i] + most, "right")) - 1)
                 c = count[i:j]
                 left = np.repeat(np.arange(i, j), c)
                 right = left + 1 + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                a, b = own[left], own[right]
-                apart = self.group[a] != self.group[b]
-                yield a[apart], b[apart]
+                apart = g[left] != g[right]
+                yield own[left[apart]], own[right[apart]]
                 i = j
 
-    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each document the least one (by id) that passes in its tiles, if smaller."""
-        best = self.doc.copy()
-        left = np.flatnonzero(self.size > 1)
-        begin, size = self.begin[left], self.size[left]
-        # Tiles in order of ids; each open document meets the first open one, until none is left.
-        open_ = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        tile = np.repeat(np.arange(len(left)), size)
-        own = self.place[open_]
-        order = np.lexsort((self.doc[own], tile))
-        own, tile = own[order], tile[order]
-        rounds = 0
-        while len(own) and rounds < 64:  # only the choice of first pairs ends here; all_pairs() is whole
-            rounds += 1
+    def stars(self, rounds: int = 64) -> np.ndarray:
+        """Of each entry the document, in its tile, that it is paired with: the first one (by id)
+        that passes among those that are paired with none themselves."""
+        star = self.place.copy()
+        tile = np.repeat(np.arange(len(self.begin)), self.size)
+        entry = np.lexsort((self.doc[self.place], tile))
+        tile = tile[entry]
+        for _ in range(rounds):  # what is open then stays alone; pairs of different stars are tested all the same
+            if not len(entry):
+                break
             first = np.concatenate([[True], tile[1:] != tile[:-1]])
-            root = np.repeat(own[first], np.diff(np.append(np.flatnonzero(first), len(own))))
+            root = np.repeat(self.place[entry[first]], np.diff(np.append(np.flatnonzero(first), len(entry))))
             rest = ~first
-            a, b, tile = root[rest], own[rest], tile[rest]
-            ok = self.passes(a, b)
-            np.minimum.at(best, b[ok], self.doc[a[ok]])
-            own, tile = b[~ok], tile[~ok]
-        some = np.flatnonzero(best < self.doc)
-        return best[some], self.doc[some]
+            root, entry, tile = root[rest], entry[rest], tile[rest]
+            ok = self.passes(root, self.place[entry])
+            star[entry[ok]] = root[ok]
+            entry, tile = entry[~ok], tile[~ok]
+        return star
+
+    def _distinct(self, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        x, y = self.doc[np.concatenate(a)], self.doc[np.concatenate(b)]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    def star_pairs(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Pairs of documents and their stars; and pairs that pass across stars."""
+        star = self.stars()
+        paired = star != self.place
+        none = np.zeros(0, np.int64)
+        return self._distinct([star[paired]], [self.place[paired]]), self._passing(star, none)
+
+    def _passing(self, group: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [none], [none]
+        for x, y in self._steps(group):
+            ok = self.passes(x, y)
+            a.append(x[ok]), b.append(y[ok])
+        return self._distinct(a, b)
 
     def all_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of documents of different groups that pass, once."""
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in self._steps():
-            ok = self.passes(x, y)
-            x, y = self.doc[x[ok]], self.doc[y[ok]]
-            a.append(np.minimum(x, y)), b.append(np.maximum(x, y))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        return self._passing(self.group[self.place], np.zeros(0, np.int64))
 
 
-def _pairs(rows: DataFrame, first: bool, percent: int) -> DataFrame:
-    """Pairs (a < b) that may link: the first ones of each document, or all between groups."""
+def _pairs(rows: DataFrame, stars: bool, percent: int) -> DataFrame:
+    """Pairs (a < b) that may link: of stars (star true) and across them, or all between groups."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         tiles = _Tiles(table.column("data").to_pylist(), percent)
-        a, b = tiles.firsts() if first else tiles.all_pairs()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        if stars:
+            (a, b), (c, d) = tiles.star_pairs()
+            star = np.repeat([True, False], [len(a), len(c)])
+            a, b = np.concatenate([a, c]), np.concatenate([b, d])
+        else:
+            a, b = tiles.all_pairs()
+            star = np.zeros(len(a), bool)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "star": pa.array(star)})
 
-    buckets = 2 * parallelism(rows.sparkSession)
-    packed = rows.select("doc_id", "group", "n", "signature", "keys").mapInArrow(_deal(buckets), "bucket int, data binary")
-    found = packed.groupBy("bucket").applyInArrow(run, "a long, b long")
-    return found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if first else found.distinct()
+    dealt = rows.select("doc_id", "group", "n", "signature", "keys").mapInArrow(_deal(parallelism(rows.sparkSession)), "bucket int, data binary")
+    found = dealt.groupBy("bucket").applyInArrow(run, "a long, b long, star boolean")
+    return found.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar."""
+def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs, with whether their sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ok = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(texts(part.column("x")), texts(part.column("y")), strict=True)]
-                yield part.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+                ok = [similar(unpacked(x), unpacked(y), percent) for x, y in zip(texts(part.column("x")), texts(part.column("y")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "star")), pa.array(ok, pa.bool_())], ["a", "b", "star", "ok"])
 
-    left, right = sets.select(F.col("doc_id").alias("_a"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("_b"), F.col("elements").alias("y"))
-    rows = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
-    return rows.mapInArrow(run, "a long, b long")
+    own = sets.select("doc_id", "elements")
+    half = pairs.join(own, F.col("b") == F.col("doc_id")).select("a", "b", "star", F.col("elements").alias("y"))
+    rows = half.join(own, F.col("a") == F.col("doc_id")).select("a", "b", "star", F.col("elements").alias("x"), "y")
+    return rows.mapInArrow(run, "a long, b long, star boolean, ok boolean")
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -328,11 +379,19 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     standing = bits.join(stand, (F.col("doc_id") == F.col("_b")) & (F.col("rid") == F.col("_s"))).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "bits")
     rows = source.join(standing, (F.col("doc_id") == F.col("_d")) & (F.col("rid") == F.col("_r"))).select("doc_id", "bits", "text")
     sets = written(rows.mapInArrow(_sets(words, common, percent), _SETS), "sets")
-    first = written(_links(_pairs(sets.withColumn("group", F.col("doc_id")), True, percent), sets, percent), "first-links")
-    groups = components(first)
-    grouped = sets.select("doc_id", "n", "signature", "keys").join(groups, F.col("doc_id") == F.col("vertex"), "left").withColumn("group", F.coalesce("component", "doc_id"))
-    more = written(_links(_pairs(grouped, False, percent), sets, percent), "more-links")
-    found = components(first.unionByName(more).unionByName(same.where("a <> b").select("a", "b")))
+    first = written(_tested(_pairs(sets.withColumn("group", F.col("doc_id")), True, percent), sets, percent), "first-pairs")
+    links = first.where("ok").select("a", "b")
+    # Stars with a pair that does not link: their other pairs are not decided yet.
+    open_ = first.where("star and not ok").select("a").distinct().withColumnRenamed("a", "root")
+    if not open_.isEmpty():
+        members = first.where("star").join(open_, F.col("a") == F.col("root"))
+        members = members.select(F.col("a").alias("member")).unionByName(members.select(F.col("b").alias("member"))).distinct()
+        some = sets.join(members, F.col("doc_id") == F.col("member")).select("doc_id", "n", "elements", "signature", "keys")
+        groups = components(links)
+        some = written(some.join(groups, F.col("doc_id") == F.col("vertex"), "left").withColumn("group", F.coalesce("component", "doc_id")).drop("vertex", "component"), "open-sets")
+        more = written(_tested(_pairs(some, False, percent), some, percent), "more-pairs")
+        links = links.unionByName(more.where("ok").select("a", "b"))
+    found = components(links.unionByName(same.where("a <> b").select("a", "b")))
     return sizes.join(found, F.col("doc_id") == F.col("vertex"), "left").select("doc_id", "rid", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
