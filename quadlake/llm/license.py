@@ -127,7 +127,8 @@ SIGNATURES = [
 def rules() -> list[tuple[str, str, int, float, str]]:
     """(label, keyword, priority, confidence, expression), in order."""
     named = [(label, f" {keyword}", p, c, form.replace("NAME", name)) for p, c, form in FORMS for label, keyword, name in NAMES]
-    return [(*r[:4], f"(?<= ){r[4]}(?= )") for r in SIGNATURES + named]
+    versions = [(label, f" {keyword}", 4, 0.85, name) for label, keyword, name in NAMES if label[-1].isdigit() and "." in label]
+    return [(*r[:4], f"(?<= ){r[4]}(?= )") for r in SIGNATURES + named + versions]
 
 
 def _let(value: Column, body) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quadlake.llm.common import slices, text_of, texts
 
-SAMPLE, KEPT, BITS, ORDERS, LEAST = 3000, 8192, 20, (3, 4, 5, 6), 4
+SAMPLE, KEPT, BITS, ORDERS, LEAST = 3000, 1024, 20, (3, 4, 5, 6), 4
 
 
 @dataclass
