@@ -61,7 +61,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 class Encoder(ChunkStore):
     """Encoder and decoder of one model file; keeps the ids of chunks it has met."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 250_000):
         import sentencepiece
 
         model = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -225,7 +225,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for part in slices(batch, 1024):
+            for part in slices(batch, 512):
                 ids = own.batch([x.decode("utf-8", "replace") for x in texts(part.column("text"))])
                 ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
