@@ -32,6 +32,8 @@ from quadlake.llm.common import slices, text_of, texts
 from quadlake.llm.tokens import ChunkStore, vocabulary
 
 MARK = "▁"
+#: Bytes of text that are laid in a row at a time (or one chunk, if that is longer).
+BLOCK = 1 << 18
 _LETTERS = "A-Za-z" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x180)]))
 
 _loaded: dict[str, Encoder] = {}
@@ -145,6 +147,15 @@ class Encoder(ChunkStore):
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [c.encode("utf-8", "replace") for c in chunks]
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        # The lattice takes some hundred bytes for each byte of text, so long batches go in blocks.
+        cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK)) + 1).tolist(), len(raw)]
+        blocks = [self._encode(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        if not blocks:
+            return np.zeros(0, self.kind), np.zeros(0, np.int32)
+        return tuple(np.concatenate(x) for x in zip(*blocks, strict=True))
+
+    def _encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
         sizes = np.array([len(r) for r in raw], np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
@@ -250,19 +261,22 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, ids_crc32 (little-endian 32-bit ids), decoded_sha256, round_trip."""
+def digests(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, ids_crc32 (little-endian 32-bit ids), decoded_sha256, round_trip
+    of ``rows`` (doc_id, text, ids). The ids are decoded as ``decode`` does it, in one pass."""
+    path = path or vocabulary("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
         for batch in batches:
             for part in slices(batch):
                 ids = part.column("ids")
                 ends, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4")
-                raw, back = texts(part.column("text")), texts(part.column("decoded"))
+                raw, back = texts(part.column("text")), [own.decode(flat[a:b]).encode() for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(np.diff(ends).astype(np.int64)),
                     pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array([a.replace(MARK.encode(), b" ") == b for a, b in zip(raw, back, strict=True)]),
                 ], ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return rows.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

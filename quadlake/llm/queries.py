@@ -24,7 +24,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents")))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
