@@ -370,8 +370,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     source = docs.select("doc_id", text_of().alias("text")).withColumn("rid", F.xxhash64("text"))
     sizes = written(source.mapInArrow(_sizes(words, ["doc_id", "rid"]), "doc_id long, rid long, n_shingles long, digest binary"), "set-sizes")
     known = sizes.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    # Equal sets: the least id stands for them.
-    least = known.groupBy("digest").agg(F.min("doc_id").alias("first")).withColumnRenamed("digest", "_digest")
+    # Equal sets: the least id stands for them. Written first, so that both sides of the join are
+    # plain exchanges: a set that very many documents have is then split over tasks.
+    least = written(known.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc_id").alias("first")), "least-of-equal")
     same = written(known.join(least, F.col("digest") == F.col("_digest")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "rid"), "equal-sets")
     common = common_elements(docs, words)
     bits = shared_bits(source.where(F.col("doc_id").isNotNull()), _keys(words, common, percent))
