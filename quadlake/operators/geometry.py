@@ -58,16 +58,31 @@ def simplify_ring(points: np.ndarray, tolerance: float) -> np.ndarray:
     return np.concatenate([out, out[:1]]) if closed else out
 
 
+_PARTS = "array<array<struct<x: float, y: float>>>"
+
+
+def _each(value, change, tolerance: float) -> list:
+    lines = [np.array([(p["x"], p["y"]) for p in line], np.float32).reshape(-1, 2) for line in value]
+    return [[{"x": float(x), "y": float(y)} for x, y in (change(line, tolerance) if len(line) else line)] for line in lines]
+
+
 def simplified(parts: Column, rings: bool, tolerance: float) -> Column:
     """array<array<struct<x: float, y: float>>> with each line (or ring) simplified."""
     own = simplify_ring if rings else simplify_line
 
-    @F.pandas_udf("array<array<struct<x: float, y: float>>>")
+    @F.pandas_udf(_PARTS)
     def run(column: pd.Series) -> pd.Series:
-        out = []
-        for value in column:
-            lines = [np.array([(p["x"], p["y"]) for p in line], np.float32).reshape(-1, 2) for line in value]
-            out.append([[{"x": float(x), "y": float(y)} for x, y in (own(line, tolerance) if len(line) else line)] for line in lines])
-        return pd.Series(out)
+        return pd.Series([_each(value, own, tolerance) for value in column])
 
     return run(parts)
+
+
+def simplified_by_kind(parts: Column, kind: Column, tolerance: float) -> Column:
+    """The same for lines and polygons by their class; other geometry stays."""
+    of = {"LineString": simplify_line, "Polygon": simplify_ring}
+
+    @F.pandas_udf(_PARTS)
+    def run(column: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([_each(value, of.get(k, lambda points, _: points), tolerance) for value, k in zip(column, kinds, strict=True)])
+
+    return run(parts, kind)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.functions.tile import MAX_TILE_BYTES, percent_change, percent_reduction, signed
+from quadlake.operators import features as fo
 from quadlake.operators import tiles as to
 
 #: Names of sections and their other names.
@@ -26,13 +28,39 @@ def wanted(text: str | None) -> set[str]:
 class Report:
     """Sections of a tile relation; only those that are looked at are computed."""
 
-    def __init__(self, tiles: DataFrame, buckets: int = 10, max_bytes: int = MAX_TILE_BYTES, topn: int = 5, bucket: int | None = None, limit: int = 100, sort: str = "size"):
+    def __init__(
+        self, tiles: DataFrame, buckets: int = 10, max_bytes: int = MAX_TILE_BYTES, topn: int = 5, bucket: int | None = None, limit: int = 100, sort: str = "size",
+        whole: DataFrame | None = None, features: DataFrame | None = None, tile: DataFrame | None = None, layers: list[str] | None = None, metadata: Callable[[], dict[str, str]] = dict, compact: bool = False,
+    ):
+        """``whole``: all tiles, where ``tiles`` is a ratio of them (tiles over the limit are counted in
+        all); ``features``: those of ``tiles``; ``tile``: those of one tile; ``layers``: the only ones to be shown."""
         self.tiles, self.buckets, self.max_bytes, self.topn, self.bucket, self.limit, self.sort = tiles, buckets, max_bytes, topn, bucket, limit, sort
+        self.whole, self.features, self.tile, self.layers, self.metadata, self.compact = whole, features, tile, layers, metadata, compact
+
+    def _summary(self) -> DataFrame:
+        rows = to.overall(self.tiles).crossJoin(to.empty_and_over(self.tiles, self.max_bytes))
+        return rows if self.whole is None else rows.drop("over_limit").crossJoin(to.empty_and_over(self.whole, self.max_bytes).select("over_limit"))
+
+    def _tile_summary(self, features: DataFrame, keys: list[str]) -> DataFrame:
+        """Layers of tiles, with their property names unless compact."""
+        own = fo.layers(features, self.layers, keys)
+        if not self.compact:
+            names = features.select(*keys, "layer", F.explode_outer(F.map_keys("properties")).alias("name")).groupBy(*keys, "layer").agg(F.array_sort(F.collect_set("name")).alias("property_names"))
+            own = own.join(names, [*keys, "layer"])
+        return own.orderBy(*keys, "layer")
+
+    def _top_features(self) -> DataFrame:
+        places = to.top(self.tiles, self.topn).select("zoom", "x", "y")
+        return self.features.join(places, ["zoom", "x", "y"], "left_semi")
+
+    def _metadata(self) -> DataFrame:
+        return self.tiles.sparkSession.createDataFrame(sorted(self.metadata().items()), "name string, value string")
 
     def section(self, name: str) -> DataFrame:
         t = self.tiles
         return {
-            "summary": lambda: to.overall(t).crossJoin(to.empty_and_over(t, self.max_bytes)),
+            "metadata": self._metadata,
+            "summary": self._summary,
             "zoom": lambda: to.zoom_table(t),
             "histogram": lambda: to.histogram(t, self.buckets, self.max_bytes),
             "histogram_by_zoom": lambda: to.zoom_histograms(t, self.buckets, self.max_bytes),
@@ -40,6 +68,9 @@ class Report:
             "bucket": lambda: to.bucket_count(t, self.buckets, -1 if self.bucket is None else self.bucket),
             "bucket_tiles": lambda: to.in_bucket(t, self.buckets, self.bucket or 0, self.limit, self.sort),
             "top_tiles": lambda: to.top(t, self.topn),
+            "layers": lambda: fo.layers(self.features, self.layers).orderBy("layer"),
+            "tile_summary": lambda: self._tile_summary(self.tile, []),
+            "top_tile_summaries": lambda: self._tile_summary(self._top_features(), ["zoom", "x", "y"]),
         }[name]()
 
     def json_lines(self, sections: str | None = None) -> DataFrame:

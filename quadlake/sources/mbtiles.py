@@ -34,6 +34,15 @@ def layout(db: sqlite3.Connection) -> tuple[str, str, str]:
     raise ValueError("neither tiles nor map and images are there")
 
 
+def is_split(path: str) -> bool:
+    """Whether tiles are stored as map and images."""
+    db = connect(path)
+    try:
+        return layout(db)[0] != "tiles"
+    finally:
+        db.close()
+
+
 def column_ranges(zoom: int, parts: int = PARTS) -> list[tuple[int, int]] | None:
     """Equal ranges of columns of a zoom; none below FROM_ZOOM or from 33 on."""
     if not FROM_ZOOM <= zoom < 33:
