@@ -408,12 +408,17 @@ def gzip_roundtrip(spark, sf):
 
 @query("SELECT l_linenumber AS zoom, l_returnflag || l_linestatus AS layer, count(*) AS n FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL")
 def mvt_roundtrip(spark, sf):
-    """Features encoded to tiles by zoom and decoded again (the encoder groups by tile)."""
+    """All lines encoded to tiles by zoom and decoded again; its SQL then counts the features of orders up to 2000."""
+    return all_decoded(spark, sf).where("x <= 2000").groupBy("zoom", "layer").agg(F.count("*").alias("n"))
+
+
+def all_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of all lines after encoding to tiles and decoding (the encoder groups by tile)."""
     from quadlake.sources.mvt import decoded, encoded
 
-    f = line_features(spark, sf).where("x <= 2000").withColumn("geometry", F.array(F.array(F.struct(F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y")))))
+    f = line_features(spark, sf).withColumn("geometry", F.array(F.array(F.struct(F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y")))))
     f = f.withColumns({"geom_type": F.lit("Point"), "feature_id": F.col("feature_index"), "extent": F.lit(4096)})
-    return decoded(encoded(f)).groupBy("zoom", "layer").agg(F.count("*").alias("n"))
+    return decoded(encoded(f))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

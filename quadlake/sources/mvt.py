@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
+from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quadlake.sources.archive import gunzip, write_varints
 
@@ -15,6 +18,15 @@ FEATURES = (
     "zoom int, x long, y long, layer string, layer_index int, extent int, feature_index long, feature_id decimal(20,0), geom_type string, "
     f"geometry array<array<struct<x: float, y: float>>>, vertices long, properties map<string, {PROP}>"
 )
+_KEYS = [("zoom", pa.int32()), ("x", pa.int64()), ("y", pa.int64())]
+_TILES = pa.schema([*_KEYS, ("tile_data", pa.binary())])
+_PROP = pa.struct([("kind", pa.string()), ("s", pa.string()), ("d", pa.float64()), ("b", pa.bool_()), ("text", pa.string()), ("exact", pa.string())])
+_FEATURES = pa.schema([
+    *_KEYS, ("layer", pa.string()), ("layer_index", pa.int32()), ("extent", pa.int32()), ("feature_index", pa.int64()), ("feature_id", pa.decimal128(20)), ("geom_type", pa.string()),
+    ("geometry", pa.list_(pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32())])))), ("vertices", pa.int64()), ("properties", pa.map_(pa.string(), _PROP)),
+])
+#: Rows of an Arrow batch.
+SOME = 2000
 KINDS = {1: "Point", 2: "LineString", 3: "Polygon"}
 
 
@@ -203,31 +215,45 @@ def encode_tile(features: list[dict]) -> bytes:
 def decoded(tiles: DataFrame, strict: bool = True) -> DataFrame:
     """Features of tiles (zoom, x, y, tile_data); without ``strict`` tiles that fail give none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ("zoom", "x", "y", "layer", "layer_index", "extent", "feature_index", "feature_id", "geom_type", "geometry", "vertices", "properties")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for batch in batches:
-            rows = []
-            for t in batch.itertuples(index=False):
+            cols = [batch.column(c) for c in ("zoom", "x", "y", "tile_data")]
+            for i in range(batch.num_rows):
+                zoom, x, y, data = (c[i].as_py() for c in cols)
                 try:
-                    rows += [{"zoom": t.zoom, "x": t.x, "y": t.y} | f for f in decode_tile(bytes(t.tile_data))]
+                    found = list(decode_tile(data))
                 except (ValueError, IndexError):
                     if strict:
                         raise
-            for r in rows:
-                r["feature_id"] = None if r["feature_id"] is None else __import__("decimal").Decimal(r["feature_id"])
-                r["properties"] = {k: {f: v.get(f) for f in ("kind", "s", "d", "b", "text", "exact")} for k, v in r["properties"].items()}
-            if rows:
-                yield pd.DataFrame(rows)[names]
+                    continue
+                for f in found:
+                    own = None if f["feature_id"] is None else Decimal(f["feature_id"])
+                    rows.append(f | {"zoom": zoom, "x": x, "y": y, "feature_id": own, "properties": list(f["properties"].items())})
+                if len(rows) >= SOME:
+                    yield pa.RecordBatch.from_pylist(rows, _FEATURES)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _FEATURES)
 
-    return tiles.select("zoom", "x", "y", "tile_data").mapInPandas(run, FEATURES)
+    return tiles.select("zoom", "x", "y", "tile_data").mapInArrow(run, FEATURES)
 
 
 def encoded(features: DataFrame) -> DataFrame:
-    """Tiles (zoom, x, y, tile_data) of features; a tile's features meet in one group, as a tile is bounded."""
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        rows = table.sort_values(["layer", "feature_index"], kind="stable").to_dict("records")
-        return pd.DataFrame({"zoom": [rows[0]["zoom"]], "x": [rows[0]["x"]], "y": [rows[0]["y"]], "tile_data": [encode_tile(rows)]})
-
-    wanted = features.select("zoom", "x", "y", "layer", "extent", "feature_index", "feature_id", "geom_type", "geometry", "properties")
-    return wanted.groupBy("zoom", "x", "y").applyInPandas(run, "zoom int, x long, y long, tile_data binary")
+    """Tiles (zoom, x, y, tile_data) of features; a tile's features follow one another in one sorted partition."""
+    keys = ("zoom", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for at in range(0, batch.num_rows, SOME) for r in batch.slice(at, SOME).to_pylist())
+        out, size = [], 0
+        for key, own in itertools.groupby(rows, lambda r: tuple(r[k] for k in keys)):
+            out.append(dict(zip(keys, key, strict=True)) | {"tile_data": encode_tile(list(own))})
+            size += len(out[-1]["tile_data"])
+            if len(out) >= SOME or size >= 4 << 20:
+                yield pa.RecordBatch.from_pylist(out, _TILES)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _TILES)
+
+    wanted = features.select(F.col("zoom").cast("int").alias("zoom"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "layer", "extent", "feature_index", "feature_id", "geom_type", "geometry", "properties")
+    return wanted.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("layer"), F.asc_nulls_last("feature_index")).mapInArrow(run, "zoom int, x long, y long, tile_data binary")
