@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A text is lower-cased (A-Z) and cut to words. Rules are regular expressions over the words
-joined by single spaces. A text with none of the root keywords is not scanned; a rule is
-tried only where its own keyword occurs. A rule's matches are intervals; an interval that
+joined by single spaces. A text with none of the rules' keywords is not scanned; a rule is
+tried only where its own keyword and the fixed part of its form occur. A rule's matches are intervals; an interval that
 lies within another of a higher rank (priority, then length, then order of the rules) is
 suppressed. What is left gives the labels and the score.
 
@@ -26,17 +26,16 @@ WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Phrase -> label; each phrase is two or more words.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: A text holds one of these, within a word, or no rule can match it.
-ROOTS = ("licen", "copyright", "copyleft", "creative", "domain", "rights", "warrant", "gpl", "spdx", "redistribution", "permission")
-
 #: (label, how a word of the name begins, the name as a regular expression over words).
 NAMES = [
     ("mit", "mit", "(?:the )?mit(?: x11| expat)?"),
     ("x11", "x11", "(?:the )?x11"),
     ("isc", "isc", "(?:the )?isc"),
-    ("0bsd", "bsd", "(?:0 ?bsd|zero clause bsd|bsd zero clause)"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("0bsd", "bsd", "(?:0 bsd|zero clause bsd|bsd zero clause)"),
     ("bsd", "bsd", "(?:the )?bsd"),
-    ("bsd-2-clause", "bsd", "(?:the )?(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-2-clause", "freebsd", "(?:the )?freebsd"),
+    ("bsd-2-clause", "bsd", "(?:the )?(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
     ("bsd-3-clause", "bsd", "(?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4-clause", "bsd", "(?:the )?(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
     ("apache", "apache", "(?:the )?apache(?: software)?"),
@@ -93,13 +92,13 @@ NAMES = [
     ("commercial", "commercial", "(?:a |the )?commercial"),
 ]
 
-#: (priority, confidence, form with NAME in it).
+#: (priority, confidence, form with NAME in it, what every match has in it or before it).
 FORMS = [
-    (5, 1.0, "spdx licen[sc]e identifier NAME"),
-    (4, 0.95, "(?:is |are )?(?:licen[sc]ed|released|distributed|available|published|provided|made available) under (?:the (?:terms|conditions) of )?NAME(?: (?:international )?(?:public )?licen[sc]e)?(?: (?:version |v)?[0-9](?: [0-9])?)?"),
-    (4, 0.9, "(?:under|subject to) the (?:terms|conditions) of NAME licen[sc]e"),
-    (3, 0.8, "NAME licen[sc]e(?: agreement)?(?: (?:version |v)?[0-9](?: [0-9])?)?"),
-    (2, 0.6, "licen[sc]e (?:is )?NAME"),
+    (5, 1.0, "spdx licen[sc]e identifier NAME", " spdx licen"),
+    (4, 0.95, "(?:is |are )?(?:licen[sc]ed|released|distributed|available|published|provided|made available) under (?:the (?:terms|conditions) of )?NAME(?: (?:international )?(?:public )?licen[sc]e)?(?: (?:version |v)?[0-9](?: [0-9])?)?", " under "),
+    (4, 0.9, "(?:under|subject to) the (?:terms|conditions) of NAME licen[sc]e", " licen"),
+    (3, 0.8, "NAME licen[sc]e(?: agreement)?(?: (?:version |v)?[0-9](?: [0-9])?)?", " licen"),
+    (2, 0.6, "licen[sc]e (?:is )?NAME", " licen"),
 ]
 
 #: Whole signatures: (label, keyword, priority, confidence, expression).
@@ -126,18 +125,34 @@ SIGNATURES = [
 
 def rules() -> list[tuple[str, str, int, float, str]]:
     """(label, keyword, priority, confidence, expression), in order."""
-    named = [(label, f" {keyword}", p, c, form.replace("NAME", name)) for p, c, form in FORMS for label, keyword, name in NAMES]
+    named = [(label, f" {keyword}", p, c, form.replace("NAME", name)) for p, c, form, _ in FORMS for label, keyword, name in NAMES]
     versions = [(label, f" {keyword}", 4, 0.85, name) for label, keyword, name in NAMES if label[-1].isdigit() and "." in label]
     return [(*r[:4], f"(?<= ){r[4]}(?= )") for r in SIGNATURES + named + versions]
 
 
+def keywords() -> list[str]:
+    """The rules' keywords, each once. A text holds one of them, or no rule can match it."""
+    return list(dict.fromkeys(r[1] for r in rules()))
+
+
+def roots() -> list[str]:
+    """Parts of words of which a text holds one if it has a keyword, none of them within another."""
+    every = {k.strip() for k in keywords()}
+    return sorted(k for k in every if not any(o != k and o in k for o in every))
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)``, with the value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _rules() -> Column:
-    return F.array(*(F.struct(F.lit(i).alias("n"), F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(x).alias("rx")) for i, (a, k, p, c, x) in enumerate(rules())))
+    """The rules by what their forms have in common, then by their keywords."""
+    shared = [""] * len(SIGNATURES) + [also for *_, also in FORMS for _ in NAMES]
+    own: dict = {}
+    for i, (a, k, p, c, x) in enumerate(rules()):
+        own.setdefault(shared[i] if i < len(shared) else "", {}).setdefault(k, []).append(F.struct(F.lit(i).alias("n"), F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(x).alias("rx")))
+    return F.array(*(F.struct(F.lit(s).alias("shared"), F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*r).alias("rules")) for k, r in by.items())).alias("groups")) for s, by in own.items()))
 
 
 def _places(text: Column, rule: Column, found: Column) -> Column:
@@ -162,7 +177,8 @@ def _higher(b: Column, a: Column) -> Column:
 
 
 def _detections(text: Column) -> Column:
-    tried = F.filter(_rules(), lambda r: F.contains(text, r["keyword"]))
+    groups = F.flatten(F.transform(F.filter(_rules(), lambda r: F.contains(text, r["shared"])), lambda r: r["groups"]))
+    tried = F.flatten(F.transform(F.filter(groups, lambda r: F.contains(text, r["keyword"])), lambda r: r["rules"]))
     hits = F.flatten(F.transform(tried, lambda r: _let(F.regexp_extract_all(text, r["rx"], F.lit(0)), lambda found: F.when(F.size(found) > 0, _places(text, r, found)).otherwise(F.array()))))
     return _let(hits, lambda all_: F.filter(all_, lambda a: ~F.exists(all_, lambda b: _higher(b, a))))
 
@@ -191,7 +207,7 @@ def scan(docs: DataFrame) -> DataFrame:
     detections are null where no root keyword occurs."""
     lower = docs.select("doc_id", F.lower(text_of()).alias("lower"))
     gate = F.lit(False)
-    for root in ROOTS:
+    for root in roots():
         gate = gate | F.contains("lower", F.lit(root))
     words = F.regexp_extract_all("lower", F.lit(WORD), F.lit(0))
     rows = lower.select("doc_id", words.alias("words"), gate.alias("gate"))

@@ -121,6 +121,30 @@ def test_license(docs, spark):
     assert len(licenses.rules()) > 200 and licenses.license_labels(docs).count() == docs.count()
 
 
+def ungated(text):
+    """Labels of the rules and their best confidence, every rule tried on every text."""
+    line = f" {' '.join(re.findall(licenses.WORD, (text or '').lower()))} "
+    hits = [(m.start(), m.end(), p, -i, c, a) for i, (a, _, p, c, x) in enumerate(licenses.rules()) for m in re.finditer(x, line)]
+    rank = lambda h: (h[2], h[1] - h[0], h[3])
+    kept = [h for h in hits if not any(o[0] <= h[0] and o[1] >= h[1] and rank(o) > rank(h) for o in hits)]
+    return {h[5] for h in kept}, max((h[4] for h in kept), default=0.0)
+
+
+def test_license_gates(docs, spark):
+    lost = ["Released under MIT.", "distributed under CC BY-SA 4.0", "Apache 2.0", "MPL 2.0", "FreeBSD License", "0BSD license"]
+    assert all(ungated(t)[0] for t in lost)
+    plain = lambda x: re.sub(r" +", " ", re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", x.replace("[sc]", "s").replace("[1-4] [05]", "4 0").replace(" ?", " ").replace("v?", "v")))
+    names = [plain(plain(n)) for _, _, n in licenses.NAMES]
+    texts = lost + names + [f.format(n) for n in names for f in ("released under {}", "{} licence", "the {} License, 2.0", "x-{}-y", "licensed under the terms of {}")]
+    texts += [re.sub("^(the|a) ", "", t) for t in texts] + [None, "", "an ordinary text"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1_000_000 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    out = {r.doc_id: r for r in licenses.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        labels, score = ungated(t)
+        base = set(filter(None, out[i].base_labels.split(",")))
+        assert (set(filter(None, out[i].labels.split(","))), out[i].score) == (labels | base, max(score, 0.8 if base else 0.0)), t
+
+
 def test_pieces_against_the_library(spark, docs):
     own = pieces.Encoder(tokens.vocabulary("piece_bpe_32k.model"))
     texts = ["", " ", "a  b\n\tc", "你好 🎉 ﹏", "aaaa bbbbb ------- !!!!!", "don't (stop), e.g.\n\n x"] + [r.text or "" for r in docs.collect()] + [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
