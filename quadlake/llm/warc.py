@@ -7,7 +7,9 @@ the response; the others are revisit records which name it and carry no payload.
 Reader: goes from member to member. When a member fails (damaged gzip data, a bad length, a
 digest that does not match) it searches for the next place where a whole valid member, or an
 uncompressed record's version line, begins, goes on there, and logs the gap between as
-quarantined bytes. Records after a damaged part are recovered.
+quarantined bytes. Records after a damaged part are recovered; so are the valid records of a
+member around a failed one, whose gap has the place of the member. Payload length and digest
+are checked where a record has them, so archives of other writers are read, too.
 
 An archive is a row (archive, data); ``write_files`` and ``read_files`` turn such rows
 to .warc.gz files in a folder and back. Archives are written to the scratch folder.
@@ -34,6 +36,7 @@ from quadlake.llm.common import slices, texts, written
 
 VERSION, MAGIC, EOL = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n"
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_SHA1 = re.compile(r"[A-Z2-7]{32}")
 RECORDS = "archive string, at long, size long, kind string, id string, uri string, refers_to string, digest string, payload_bytes long, payload binary, gap string"
 
 
@@ -66,10 +69,11 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     end = data.find(EOL * 2, at)
     if end < 0:
         raise Short("no end of header")
-    head = dict(x.split(b": ", 1) for x in data[at:end].split(EOL)[1:] if b": " in x)
+    head = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(b":") for x in data[at:end].split(EOL)[1:]) if colon}
     try:
-        n, size = int(head[b"Content-Length"]), int(head[b"WARC-Payload-Length"])
-        kind, digest = head[b"WARC-Type"].decode(), head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
+        n = int(head[b"content-length"])
+        size = int(head.get(b"warc-payload-length", n))
+        kind, digest = head[b"warc-type"].decode(), head.get(b"warc-payload-digest", b"").decode().removeprefix("sha1:") or None
     except (KeyError, UnicodeDecodeError) as e:
         raise ValueError(f"bad header: {e}") from e
     payload = data[end + 4 : end + 4 + n]
@@ -78,10 +82,12 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
         raise Short("bad length")
     if n < 0 or data[stop - 4 : stop] != EOL * 2:
         raise ValueError("bad length")
-    if kind == "response" and digest_of(payload) != digest:
+    # Of HTTP messages the digest is that of the body; digests of other kinds cannot be checked.
+    bodies = [payload, *payload.split(EOL * 2, 1)[1:]] if head.get(b"content-type", b"").startswith(b"application/http") else [payload]
+    if kind == "response" and digest and _SHA1.fullmatch(digest) and digest not in map(digest_of, bodies):
         raise ValueError("bad digest")
     ident = lambda k: head[k].decode("utf-8", "replace").removeprefix("<urn:page:").removesuffix(">") if k in head else None
-    return {"kind": kind, "id": ident(b"WARC-Record-ID"), "uri": head.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), "refers_to": ident(b"WARC-Refers-To"), "digest": digest, "payload_bytes": size, "payload": payload}, stop
+    return {"kind": kind, "id": ident(b"warc-record-id"), "uri": head.get(b"warc-target-uri", b"").decode("utf-8", "replace"), "refers_to": ident(b"warc-refers-to"), "digest": digest, "payload_bytes": size, "payload": payload}, stop
 
 
 def _at(data: bytes, at: int) -> tuple[list[dict], int]:
@@ -94,10 +100,20 @@ def _at(data: bytes, at: int) -> tuple[list[dict], int]:
             raise ValueError(f"bad member: {e}") from e
         if not z.eof:
             raise Short("member cut short")
-        out, inner = [], 0
+        out, inner, good, why = [], 0, False, ""
         while inner < len(plain):
-            r, inner = parse(plain, inner)
-            out.append(r)
+            try:
+                r, inner = parse(plain, inner)
+                out.append(r)
+                good = True
+            except ValueError as e:
+                why = str(e)
+                if not out or out[-1]["kind"] != "gap":
+                    out.append({"kind": "gap", "gap": why})
+                line = _LINE.search(plain, inner + 1)
+                inner = line.start() if line else len(plain)
+        if not good:
+            raise ValueError(why or "empty member")
         return out, len(data) - len(z.unused_data)
     r, end = parse(data, at)
     return [r], end

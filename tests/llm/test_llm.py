@@ -256,6 +256,22 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(warc.read_files(spark, folder)).count() == 5
 
 
+def test_warc_of_other_writers():
+    def other(kind, ident, block, *lines):
+        return b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, b"warc-record-id: <urn:page:" + ident + b">", *lines, b"Content-Length: %d" % len(block), b"", block, b"", b""])
+
+    body = b"<p>x</p>"
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+    one = other(b"warcinfo", b"0", b"software: x")
+    two = other(b"response", b"1", http, b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha1:" + warc.digest_of(body).encode())
+    wrong = other(b"response", b"2", b"y", b"WARC-Payload-Digest: sha1:" + warc.digest_of(b"z").encode())
+    assert [(r["id"], r["payload_bytes"]) for r in warc.salvage(warc.member(one) + warc.member(two) + one)] == [("0", 11), ("1", len(http)), ("0", 11)]
+    whole = warc.member(one + wrong + two)
+    out = list(warc.salvage(whole + warc.member(one)))
+    assert [r.get("id") for r in out] == ["0", None, "1", "0"] and out[1]["gap"] == "bad digest" and out[1]["size"] == len(whole)
+    assert [r["kind"] for r in warc.salvage(warc.member(wrong))] == ["gap"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
