@@ -93,8 +93,8 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def text_table(df: DataFrame, most: int = 256) -> list[str]:
-    """Lines of a small section, columns aligned; at most ``most`` rows, as a report is read by people."""
-    rows = [tuple(df.columns), *(tuple("" if v is None else str(v) for v in r) for r in df.limit(most).collect())]
+def text_table(df: DataFrame) -> list[str]:
+    """Lines of a section, all of its rows, columns aligned."""
+    rows = [tuple(df.columns), *(tuple("" if v is None else str(v) for v in r) for r in df.collect())]
     widths = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
     return ["  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows]

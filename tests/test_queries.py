@@ -48,3 +48,9 @@ def test_the_codec_gets_every_line(spark, monkeypatch):
     monkeypatch.setattr(mvt, "encoded", lambda f: seen.append(f.count()) or encode(f))
     q.queries()["mvt_roundtrip"](spark, SF)
     assert seen == [q.read(spark, SF, "lineitem").count()]
+
+
+def test_text_tables_have_all_rows(spark):
+    from quadlake.plans.report import text_table
+
+    assert text_table(spark.range(1000).orderBy("id")) == ["id", *map(str, range(1000))]
