@@ -41,8 +41,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _valid(column: str):
-    """A binary column as text, without byte sequences that are not UTF-8."""
-    return F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col(column).cast("string"))), F.lit("\ufffd"), F.lit(""))
+    """A binary column as text, without byte sequences that are not UTF-8. U+FFFD of the input is
+    written as \\x01b (and \\x01 as \\x01a) while what is not valid goes."""
+    text = F.col(column).cast("string")
+    for a, b in (("\x01", "\x01a"), ("\ufffd", "\x01b")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    text = F.replace(F.try_validate_utf8(F.make_valid_utf8(text)), F.lit("\ufffd"), F.lit(""))
+    for a, b in (("\x01b", "\ufffd"), ("\x01a", "\x01")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,6 +272,14 @@ def test_warc_of_other_writers():
     assert [r["kind"] for r in warc.salvage(warc.member(wrong))] == ["gap"]
 
 
+def test_cut_texts_keep_replacement_characters(spark):
+    import corpus_pipeline
+
+    cut = [("ä\ufffdb\x01b\x01a\x01".encode(), "ä\ufffdb\x01b\x01a\x01"), (b"a\xc3", "a"), (b"\xa4\xef\xbf\xbdb\xe2\x82", "\ufffdb"), (b"x\xe2\x82\xef\xbf\xbd", "x\ufffd"), (b"", "")]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, (b, _) in enumerate(cut)], "i int, text binary")
+    assert [r.t for r in df.select("i", corpus_pipeline._valid("text").alias("t")).orderBy("i").collect()] == [t for _, t in cut]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
