@@ -1,14 +1,20 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-A text is lower-cased (A-Z) and cut to words. Rules are regular expressions over the words
-joined by single spaces. A text with none of the rules' keywords is not scanned; a rule is
-tried only where its own keyword and the fixed part of its form occur. A rule's matches are intervals; an interval that
-lies within another of a higher rank (priority, then length, then order of the rules) is
-suppressed. What is left gives the labels and the score.
+A text is lower-cased (A-Z) and cut to words. Each rule (``license_rules``) is a regular expression with a
+keyword, one word that every match has. The keywords are the prefilter: a text is searched only at places of
+keywords, each rule only at places of its own, in a line of the ``LEFT`` words before the place and the
+``RIGHT`` words from it on, which is more than any rule spans. A rule has one match at a place of its
+keyword at most, an interval of words. An interval that lies within another of a higher rank (priority, then
+length, then order of the rules) is suppressed. What is left gives the labels and the score.
+
+Containment is found in one pass over the intervals in order of their starts: those that hold an interval
+begin at most ``LEFT + RIGHT`` words before it, and are among the entries before it, of which
+no more are looked at than can begin so near.
 
 Beside the rules, base phrases are counted at every place and never suppressed.
 
-Each row is worked on by itself: there is no shuffle, and rules are a literal of the plan.
+Each row is worked on by itself: there is no shuffle, and the rules are one literal of the plan. Work grows with
+the number of keyword places, not with its square.
 
 Defined results: null text is empty (no words, no labels, score 0); repeated rows and null
 ids are answered each; extra columns are ignored.
@@ -16,118 +22,24 @@ ids are answered each; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.llm.common import text_of
+from quadlake.llm.license_rules import MARK, rules
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 #: Phrase -> label; each phrase is two or more words.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: (label, how a word of the name begins, the name as a regular expression over words).
-NAMES = [
-    ("mit", "mit", "(?:the )?mit(?: x11| expat)?"),
-    ("x11", "x11", "(?:the )?x11"),
-    ("isc", "isc", "(?:the )?isc"),
-    ("0bsd", "0bsd", "0bsd"),
-    ("0bsd", "bsd", "(?:0 bsd|zero clause bsd|bsd zero clause)"),
-    ("bsd", "bsd", "(?:the )?bsd"),
-    ("bsd-2-clause", "freebsd", "(?:the )?freebsd"),
-    ("bsd-2-clause", "bsd", "(?:the )?(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
-    ("bsd-3-clause", "bsd", "(?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
-    ("bsd-4-clause", "bsd", "(?:the )?(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
-    ("apache", "apache", "(?:the )?apache(?: software)?"),
-    ("apache-1.1", "apache", "(?:the )?apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache-2.0", "apache", "(?:the )?apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("gpl", "gpl", "(?:the )?(?:gnu )?gpl"),
-    ("gpl", "general", "(?:the )?(?:gnu )?general public"),
-    ("gpl-2.0", "gpl", "(?:the )?(?:gnu )?gpl(?: version| v)? ?v?2(?: 0)?"),
-    ("gpl-2.0", "general", "(?:the )?(?:gnu )?general public license(?: version| v)? ?v?2(?: 0)?"),
-    ("gpl-3.0", "gpl", "(?:the )?(?:gnu )?gpl(?: version| v)? ?v?3(?: 0)?"),
-    ("gpl-3.0", "general", "(?:the )?(?:gnu )?general public license(?: version| v)? ?v?3(?: 0)?"),
-    ("lgpl", "lgpl", "(?:the )?(?:gnu )?lgpl"),
-    ("lgpl", "lesser", "(?:the )?(?:gnu )?lesser general public"),
-    ("lgpl", "library", "(?:the )?(?:gnu )?library general public"),
-    ("lgpl-2.1", "lgpl", "(?:the )?(?:gnu )?lgpl(?: version| v)? ?v?2 1"),
-    ("lgpl-2.1", "lesser", "(?:the )?(?:gnu )?lesser general public license(?: version| v)? ?v?2 1"),
-    ("lgpl-3.0", "lgpl", "(?:the )?(?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)?"),
-    ("agpl", "agpl", "(?:the )?(?:gnu )?agpl"),
-    ("agpl", "affero", "(?:the )?(?:gnu )?affero general public"),
-    ("agpl-3.0", "agpl", "(?:the )?(?:gnu )?agpl(?: version| v)? ?v?3(?: 0)?"),
-    ("agpl-3.0", "affero", "(?:the )?(?:gnu )?affero general public license(?: version| v)? ?v?3(?: 0)?"),
-    ("gfdl", "gnu", "(?:the )?gnu free documentation"),
-    ("mpl", "mozilla", "(?:the )?mozilla public"),
-    ("mpl-2.0", "mozilla", "(?:the )?mozilla public license(?: version| v)? ?2(?: 0)?"),
-    ("mpl-2.0", "mpl", "(?:the )?mpl(?: version| v)? ?2(?: 0)?"),
-    ("epl", "eclipse", "(?:the )?eclipse public"),
-    ("edl", "eclipse", "(?:the )?eclipse distribution"),
-    ("cddl", "common", "(?:the )?common development and distribution"),
-    ("cpl", "common", "(?:the )?common public"),
-    ("eupl", "european", "(?:the )?european union public"),
-    ("osl", "open", "(?:the )?open software"),
-    ("odbl", "open", "(?:the )?open (?:data commons open )?database"),
-    ("odc-by", "open", "(?:the )?open data commons attribution"),
-    ("pddl", "public", "(?:the )?public domain dedication(?: and)?"),
-    ("ofl", "font", "(?:the )?(?:sil )?open font"),
-    ("artistic", "artistic", "(?:the )?(?:perl )?artistic"),
-    ("bsl", "boost", "(?:the )?boost software"),
-    ("busl", "business", "(?:the )?business source"),
-    ("zlib", "zlib", "(?:the )?zlib(?: libpng)?"),
-    ("psf", "python", "(?:the )?python(?: software foundation)?"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", "(?:the )?wtfpl"),
-    ("cc0", "cc0", "(?:the )?cc0(?: 1 0)?"),
-    ("cc-by", "cc", "(?:a |the )?cc by(?: [1-4] [05])?"),
-    ("cc-by", "creative", "(?:a |the )?creative commons attribution(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc", "(?:a |the )?cc by sa(?: [1-4] [05])?"),
-    ("cc-by-sa", "share", "(?:a |the )?creative commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc", "(?:a |the )?cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative", "(?:a |the )?creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", "(?:a |the )?cc by nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", "(?:a |the )?cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "cc", "(?:a |the )?cc by nc nd(?: [1-4] [05])?"),
-    ("proprietary", "proprietary", "(?:a |the )?proprietary"),
-    ("commercial", "commercial", "(?:a |the )?commercial"),
-]
-
-#: (priority, confidence, form with NAME in it, what every match has in it or before it).
-FORMS = [
-    (5, 1.0, "spdx licen[sc]e identifier NAME", " spdx licen"),
-    (4, 0.95, "(?:is |are )?(?:licen[sc]ed|released|distributed|available|published|provided|made available) under (?:the (?:terms|conditions) of )?NAME(?: (?:international )?(?:public )?licen[sc]e)?(?: (?:version |v)?[0-9](?: [0-9])?)?", " under "),
-    (4, 0.9, "(?:under|subject to) the (?:terms|conditions) of NAME licen[sc]e", " licen"),
-    (3, 0.8, "NAME licen[sc]e(?: agreement)?(?: (?:version |v)?[0-9](?: [0-9])?)?", " licen"),
-    (2, 0.6, "licen[sc]e (?:is )?NAME", " licen"),
-]
-
-#: Whole signatures: (label, keyword, priority, confidence, expression).
-SIGNATURES = [
-    ("mit", "permission", 4, 0.95, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", 4, 0.95, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", 4, 0.95, "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc0", "dedicated", 3, 0.9, "(?:has )?dedicated (?:the work |this work )?to the public domain"),
-    ("public-domain", "domain", 2, 0.7, "(?:is |are )?in the public domain"),
-    ("public-domain", "domain", 2, 0.7, "(?:released|placed) in(?:to)? the public domain"),
-    ("copyleft", "copyleft", 1, 0.5, "copyleft"),
-    ("proprietary", "rights", 2, 0.7, "all rights reserved"),
-    ("proprietary", "permission", 3, 0.7, "(?:may not|must not|shall not) be (?:reproduced|copied|redistributed) without (?:prior )?(?:written )?permission"),
-    ("copyright", "copyright", 1, 0.4, "copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("copyright", "copyright", 1, 0.4, "copyright notice"),
-    ("warranty-disclaimer", "warrant", 1, 0.5, "(?:without|no) (?:any )?warrant(?:y|ies)(?: of any kind)?"),
-    ("warranty-disclaimer", "warrant", 2, 0.6, "provided as is without warrant(?:y|ies) of any kind"),
-    ("cc", "creative", 1, 0.5, "creative commons"),
-    ("unknown-license", "licen", 0, 0.3, "licen[sc]ed under"),
-    ("unknown-license", "licen", 0, 0.3, "licen[sc]e agreement"),
-    ("unknown-license", "licen", 0, 0.3, "terms of (?:this|the) licen[sc]e"),
-]
-
-
-def rules() -> list[tuple[str, str, int, float, str]]:
-    """(label, keyword, priority, confidence, expression), in order."""
-    named = [(label, f" {keyword}", p, c, form.replace("NAME", name)) for p, c, form, _ in FORMS for label, keyword, name in NAMES]
-    versions = [(label, f" {keyword}", 4, 0.85, name) for label, keyword, name in NAMES if label[-1].isdigit() and "." in label]
-    return [(*r[:4], f"(?<= ){r[4]}(?= )") for r in SIGNATURES + named + versions]
+LEFT, RIGHT = 20, 20
+#: Entries of an array of intervals, of different bounds, that begin within LEFT + RIGHT words of each other.
+NEAR = (8, 64, 512, (LEFT + RIGHT) ** 2)
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def keywords() -> list[str]:
@@ -135,96 +47,121 @@ def keywords() -> list[str]:
     return list(dict.fromkeys(r[1] for r in rules()))
 
 
-def roots() -> list[str]:
-    """Parts of words of which a text holds one if it has a keyword, none of them within another."""
-    every = {k.strip() for k in keywords()}
-    return sorted(k for k in every if not any(o != k and o in k for o in every))
-
-
 def _let(value: Column, body) -> Column:
     """``body(value)``, with the value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _rules() -> Column:
-    """The rules by what their forms have in common, then by their keywords."""
-    shared = [""] * len(SIGNATURES) + [also for *_, also in FORMS for _ in NAMES]
-    own: dict = {}
-    for i, (a, k, p, c, x) in enumerate(rules()):
-        own.setdefault(shared[i] if i < len(shared) else "", {}).setdefault(k, []).append(F.struct(F.lit(i).alias("n"), F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(x).alias("rx")))
-    return F.array(*(F.struct(F.lit(s).alias("shared"), F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*r).alias("rules")) for k, r in by.items())).alias("groups")) for s, by in own.items()))
+    """The rules by keyword, as one literal."""
+    by: dict[str, list] = {}
+    for n, (label, keyword, priority, confidence, rx) in enumerate(rules()):
+        by.setdefault(keyword, []).append({"n": n, "label": label, "priority": priority, "confidence": confidence, "rx": f"(?<= ){rx}(?= )"})
+    text = json.dumps([{"keyword": k, "rules": r} for k, r in by.items()])
+    return F.from_json(F.lit(text), "array<struct<keyword: string, rules: array<struct<n: int, label: string, priority: int, confidence: double, rx: string>>>>")
+
+
+def _lower(text: Column) -> Column:
+    """A-Z in lower case. Of other characters only the Kelvin sign becomes one of A-Z by ``lower``; changes of
+    the others touch neither the words' places nor any phrase or rule, which are of A-Z."""
+    return F.when(F.contains(text, F.lit("K")), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
+
+
+def _spaces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _places(text: Column, rule: Column, found: Column) -> Column:
-    """Intervals of a rule's matches: the parts between them give their starts."""
-    kind = "array<struct<s: int, e: int, priority: int, n: int, confidence: double, label: string>>"
+def _line(words: Column, i: Column) -> Column:
+    """The words around place i, with the mark before it."""
+    before = F.array_join(F.slice(words, F.greatest(i - LEFT, F.lit(0)) + 1, F.least(i, F.lit(LEFT))), " ")
+    return F.concat(F.lit(" "), before, F.when(i > 0, " ").otherwise(""), F.lit(MARK), F.array_join(F.slice(words, i + 1, RIGHT), " "), F.lit(" "))
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["part"])
-        end = start + F.length(pair["hit"])
-        one = F.struct(start.alias("s"), end.alias("e"), rule["priority"].alias("priority"), rule["n"].alias("n"), rule["confidence"].alias("confidence"), rule["label"].alias("label"))
-        return F.struct(end.alias("at"), F.when(pair["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).cast(kind).alias("out"))
 
-    pairs = F.zip_with(F.split(text, rule["rx"], -1), found, lambda a, b: F.struct(a.alias("part"), b.alias("hit")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+def _matches(rule: Column, lines: Column) -> Column:
+    """Intervals of a rule's matches in the lines of its keyword's places."""
+    found = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), F.regexp_substr(x["line"], rule["rx"]).alias("hit")))
+
+    def interval(x: Column) -> Column:
+        start = x["i"] - _spaces(F.substring_index(x["hit"], MARK, 1))
+        return F.struct(start.alias("s"), (-(start + _spaces(x["hit"]) + 1)).alias("minus_e"), (-rule["priority"]).alias("minus_priority"), rule["n"].alias("n"), rule["confidence"].alias("confidence"), rule["label"].alias("label"))
+
+    return F.transform(F.filter(found, lambda x: x["hit"].isNotNull()), interval)
 
 
 def _higher(b: Column, a: Column) -> Column:
-    """Whether detection b suppresses a: a lies within b, and b ranks above it."""
-    rank = lambda x: F.struct(x["priority"], x["e"] - x["s"], -x["n"])
-    return (b["s"] <= a["s"]) & (b["e"] >= a["e"]) & (rank(b) > rank(a))
+    """Whether b suppresses a, which does not begin before it: a lies within b, and b ranks above it."""
+    rank = lambda x: F.struct(-x["minus_priority"], -x["minus_e"] - x["s"], -x["n"])
+    return (b["minus_e"] <= a["minus_e"]) & (rank(b) > rank(a))
+
+
+def _kept(intervals: Column) -> Column:
+    """The intervals that none of a higher rank holds."""
+    # In order; of equal intervals the first ranks highest, and the others lie within it.
+    first = lambda all_: F.filter(all_, lambda x, k: (k == 0) | (F.get(all_, k - 1)["s"] != x["s"]) | (F.get(all_, k - 1)["minus_e"] != x["minus_e"]))
+
+    def sweep(all_: Column) -> Column:
+        near = lambda w: F.forall(F.transform(all_, lambda x, k: (k < w) | (x["s"] - F.get(all_, k - w)["s"] > LEFT + RIGHT)), lambda ok: ok)
+        bound = F.lit(NEAR[-1])
+        for w in reversed(NEAR[:-1]):
+            bound = F.when(near(w), w).otherwise(bound)
+        return _let(bound, lambda w: F.filter(all_, lambda x, k: ~F.exists(F.slice(all_, F.greatest(k - w, F.lit(0)) + 1, F.least(k, w)), lambda b: _higher(b, x))))
 
+    return _let(F.array_sort(intervals), lambda sorted_: _let(first(sorted_), sweep))
 
-def _detections(text: Column) -> Column:
-    groups = F.flatten(F.transform(F.filter(_rules(), lambda r: F.contains(text, r["shared"])), lambda r: r["groups"]))
-    tried = F.flatten(F.transform(F.filter(groups, lambda r: F.contains(text, r["keyword"])), lambda r: r["rules"]))
-    hits = F.flatten(F.transform(tried, lambda r: _let(F.regexp_extract_all(text, r["rx"], F.lit(0)), lambda found: F.when(F.size(found) > 0, _places(text, r, found)).otherwise(F.array()))))
-    return _let(hits, lambda all_: F.filter(all_, lambda a: ~F.exists(all_, lambda b: _higher(b, a))))
 
+def _detections(words: Column, places: Column) -> Column:
+    own = lambda group: F.filter(places, lambda i: F.get(words, i) == group["keyword"])
+    lines = lambda group: F.transform(own(group), lambda i: F.struct(i.alias("i"), _line(words, i).alias("line")))
+    here = lambda there: F.filter(_rules(), lambda group: F.array_contains(there, group["keyword"]))
+    groups = _let(F.array_distinct(F.transform(places, lambda i: F.get(words, i))), here)
+    found = F.transform(groups, lambda group: _let(lines(group), lambda x: F.flatten(F.transform(group["rules"], lambda rule: _matches(rule, x)))))
+    return _kept(F.flatten(found))
 
-def _base(words: Column) -> Column:
-    """Starts and labels of the base phrases."""
-    def at(i: Column) -> Column:
+
+def _base(words: Column, places: Column) -> Column:
+    """Starts and labels of the base phrases, whose first words are keywords."""
+    def label(i: Column) -> Column:
         out = F.lit(None).cast("string")
-        for phrase, label in BASE.items():
-            parts = phrase.split()
-            same = [F.get(words, i + j) == F.lit(p) for j, p in enumerate(parts)]
-            hit = same[0]
-            for s in same[1:]:
-                hit = hit & s
-            out = F.when(hit, F.lit(label)).otherwise(out)
+        for phrase, name in BASE.items():
+            hit = F.lit(True)
+            for j, word in enumerate(phrase.split()):
+                hit = hit & F.coalesce(F.get(words, i + j) == word, F.lit(False))
+            out = F.when(hit, name).otherwise(out)
         return out
 
-    firsts = sorted({p.split()[0] for p in BASE})
-    marked = F.transform(words, lambda w, i: F.struct(i.cast("long").alias("i"), F.when(w.isin(*firsts), at(i)).alias("label")))
-    return F.filter(marked, lambda m: m["label"].isNotNull())
+    return F.filter(F.transform(places, lambda i: F.struct(i.cast("long").alias("i"), label(i).alias("label"))), lambda x: x["label"].isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, words, base (starts and labels of base phrases), detections (kept intervals, as
-    character offsets in the words joined and enclosed by spaces) of every text; words, base and
-    detections are null where no root keyword occurs."""
-    lower = docs.select("doc_id", F.lower(text_of()).alias("lower"))
-    gate = F.lit(False)
-    for root in roots():
-        gate = gate | F.contains("lower", F.lit(root))
-    words = F.regexp_extract_all("lower", F.lit(WORD), F.lit(0))
-    rows = lower.select("doc_id", words.alias("words"), gate.alias("gate"))
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("gate"), F.col("words")).alias("words"))
-    return rows.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), _base(F.col("words"))).alias("base"), F.when(F.col("words").isNotNull(), _let(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), _detections)).alias("detections"))
+    """doc_id, n_words, base (starts and labels of base phrases), detections (kept intervals: first word, end,
+    label, confidence) of every text."""
+    first = {p.split()[0] for p in BASE}
+    known = sorted({*keywords(), *first})
+    rows = docs.select("doc_id", F.trim(F.regexp_replace(_lower(text_of()), BETWEEN, " ")).alias("line"))
+    rows = rows.select("doc_id", F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", " ")).alias("words"))
+    place = lambda words: F.filter(F.transform(words, lambda w, i: F.when(w.isin(known), i)), lambda i: i.isNotNull())
+
+    def found(words: Column) -> Column:
+        """Count, base and detections, with the words and the places computed once."""
+        def by_place(places: Column) -> Column:
+            base, hits = _base(words, places), _detections(words, places)
+            hits = F.transform(hits, lambda x: F.struct(x["s"].alias("s"), (-x["minus_e"]).alias("e"), x["label"].alias("label"), x["confidence"].alias("confidence")))
+            return F.struct(F.size(words).cast("long").alias("n_words"), F.when(F.size(places) > 0, base).alias("base"), F.when(F.size(places) > 0, hits).alias("detections"))
+
+        return _let(place(words), by_place)
+
+    rows = rows.select("doc_id", _let(F.col("words"), found).alias("found"))
+    return rows.select("doc_id", "found.n_words", F.coalesce("found.base", F.array()).alias("base"), F.coalesce("found.detections", F.array()).alias("detections"))
 
 
 def license_labels(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every text."""
-    none = F.array().cast("array<string>")
     rows = scan(docs)
     starts = F.transform("base", lambda b: b["i"])
-    own = F.coalesce(F.transform("base", lambda b: b["label"]), none)
-    found = F.coalesce(F.transform("detections", lambda d: d["label"]), none)
+    own, found = F.transform("base", lambda b: b["label"]), F.transform("detections", lambda d: d["label"])
     text = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
     score = F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)), F.when(F.size(own) > 0, F.lit(0.8)).otherwise(0.0))
     return rows.select(
-        "doc_id", "n_words", F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         text(own).alias("base_labels"), text(F.concat(own, found)).alias("labels"), score.alias("score"),
     )
