@@ -8,10 +8,15 @@ texts of plain Latin characters without "<|"; any other text goes to the library
 
 ``count_tokens`` is the digest cache: (digest of the normalised text, digest of the
 tokenizer version) -> count. Texts are joined to the stored counts, one copy of each
-text that is missing is encoded, and the new counts are appended to the cache.
+text that is missing is encoded, and the new counts are appended to the cache, a Parquet
+table with a folder for each tokenizer version. Without a path of one's own it lies in the
+scratch folder, so later calls on the same cluster find what earlier ones have counted.
+Normalised texts differ from texts in letter case and white space only, and only where the tokenizer
+ignores both (see ``normalised``), so equal digests have equal counts.
 
 Defined results: null text counts as empty; empty texts have 0 tokens; repeated rows are
-answered each; null ids are kept; extra columns are ignored.
+answered each; null ids are kept; extra columns are ignored. A count that two calls have appended at
+the same time stands twice in the cache, and is read once.
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import slices, text_of, texts, written
+from quadlake.llm.common import scratch, slices, text_of, texts, written
 
 #: Characters for which NFC, lower-casing by character and white space agree everywhere.
-_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-˿]")
+_OTHER_CHARACTERS = "[^\t\n\r\x20-\x7e\xa1-įı-˿]"
+_OTHER = re.compile(_OTHER_CHARACTERS)
 _LATIN = {k: "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
 #: The tokenizer's words, for these characters.
 _WORD = re.compile("'(?:[stmd]|re|ve|ll)|[{L}]+|[{N}]|[^\\s{L}{N}]+".format(**_LATIN))
@@ -187,35 +193,41 @@ def _count(path: str):
     return run
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, path: str | None = None, cache_path: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens of every text, by way of the digest cache.
+def normalised(text: Column) -> Column:
+    """The text in lower case with single spaces where the tokenizer ignores case and white space: in
+    texts of plain Latin characters without "<|". Others stay as they are, so they differ from all plain ones."""
+    plain = ~text.rlike(_OTHER_CHARACTERS) & ~F.contains(text, F.lit("<|"))
+    return F.when(plain, F.lower(F.trim(F.regexp_replace(text, "[ \t\n\r]+", " ")))).otherwise(text)
 
-    ``cache_path`` is a Parquet table (tokenizer, digest, n_tokens) that is made or
-    appended to; without it a new one in the scratch folder serves this call.
-    """
-    path = path or vocabulary()
+
+def default_cache(spark: SparkSession) -> str:
+    return f"{scratch(spark)}/token-cache"
+
+
+def stored_counts(spark: SparkSession, cache_path: str, tokenizer: str) -> DataFrame:
+    """digest, n_tokens of a tokenizer version in the cache; empty if there are none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{cache_path}/tokenizer={tokenizer}")
+    kind = "digest binary, n_tokens long"
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(place.toString()).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def count_tokens(spark: SparkSession, docs: DataFrame, path: str | None = None, cache_path: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_tokens of every text, by way of the digest cache at ``cache_path``, which is
+    made or appended to."""
+    path, cache_path = path or vocabulary(), cache_path or default_cache(spark)
     tokenizer = version_digest(path)
-    plain = docs.select("doc_id", text_of().alias("text"))
+    plain = docs.select("doc_id", text_of().alias("text")).select("doc_id", normalised(F.col("text")).alias("text"), F.octet_length("text").cast("long").alias("n_bytes"))
     key = F.unhex(F.sha2("text", 256))
-    keyed = plain.select("doc_id", key.alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
-    kind = "digest binary, n_tokens long"
-    stored = spark.createDataFrame([], kind)
-    if cache_path:
-        fs = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-        if fs.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(fs):
-            stored = spark.read.parquet(cache_path).where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    # One row for each digest, chosen before any text moves; only the chosen texts are shuffled.
+    keyed = plain.select("doc_id", key.alias("digest"), "n_bytes")
+    stored = stored_counts(spark, cache_path, tokenizer)
+    # One row for each missing digest, chosen before any text moves; only the chosen texts are shuffled.
     row = F.xxhash64("doc_id", "digest")
     chosen = keyed.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("first")).select("digest", F.col("first.doc_id").alias("doc_id"))
-    if cache_path:
-        chosen = chosen.join(stored, "digest", "left_anti")
-    chosen = chosen.select(row.alias("row"), F.col("digest").alias("d"))
+    chosen = chosen.join(stored, "digest", "left_anti").select(row.alias("row"), F.col("digest").alias("d"))
     source = plain.select(key.alias("digest"), "doc_id", "text").select(row.alias("row"), "digest", "text")
     misses = source.join(chosen, (source["row"] == chosen["row"]) & (source["digest"] == chosen["d"]), "left_semi")
-    fresh = written(misses.select("digest", "text").mapInArrow(_count(path), kind).dropDuplicates(["digest"]), "token-counts")
-    if cache_path:
-        fresh.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-        counts = stored.unionByName(fresh)
-    else:
-        counts = fresh
-    return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    fresh = written(misses.select("digest", "text").mapInArrow(_count(path), "digest binary, n_tokens long").dropDuplicates(["digest"]), "token-counts")
+    fresh.write.mode("append").parquet(f"{cache_path}/tokenizer={tokenizer}")
+    return keyed.join(stored.unionByName(fresh), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
