@@ -1,13 +1,13 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes ratios.
 
-Features are hashed n-grams of the lower-cased text's UTF-8 bytes. For each, the log ratio
+Features are hashed n-grams of the lower-cased text's characters (code points). For each, the log ratio
 of its smoothed document rates in toxic and other training texts is its scale; the features
 whose rates differ most (by a z statistic) are kept, and a logistic regression is trained on
 presence times scale. Only labelled texts train; the text alone is scored.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows of each class, those with the
 least hash of their id, weighted back to the classes' shares. That bounds what the driver
-holds; scoring is one pass over all texts, without a shuffle.
+holds: one text for each id (the least, where an id has several). Scoring is one pass over all texts, without a shuffle.
 
 Defined results: null text is empty and gets the score of no features; a document with
 several labels counts as toxic if one is 1; null labels and null ids train nothing; a null
@@ -38,29 +38,30 @@ class Model:
     weights: np.ndarray
     intercept: float
 
-    def score(self, data: bytes) -> float:
+    def score(self, text: str) -> float:
         z = self.intercept
         if len(self.weights) > 1:
-            hits = np.concatenate([p[p > 0] for p in (self.place[g] for g in grams(data))])
+            hits = np.concatenate([p[p > 0] for p in (self.place[g] for g in grams(text))])
             z += float(self.weights[np.unique(hits)].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def prepared(text: bytes) -> bytes:
-    return text.decode("utf-8", "replace").lower().encode("utf-8", "replace")
+def prepared(text: bytes) -> str:
+    return text.decode("utf-8", "replace").lower()
 
 
-def grams(data: bytes) -> list[np.ndarray]:
-    """Hashes of the n-grams of each order."""
-    x = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint64)
-    out, packed = [], x
-    for n in range(2, max(ORDERS) + 1):
-        if len(x) < n:
-            break
-        packed = packed[:-1] | (x[n - 1 :] << np.uint64(8 * (n - 1)))
-        if n in ORDERS:
-            with np.errstate(over="ignore"):
-                out.append((((packed + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.uint32))
+def grams(text: str) -> list[np.ndarray]:
+    """Hashes of the n-grams of characters, of each order; a space stands before and after the text."""
+    x = np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    out, h = [], x
+    with np.errstate(over="ignore"):
+        for n in range(2, max(ORDERS) + 1):
+            if len(x) < n:
+                break
+            h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[n - 1 :]
+            if n in ORDERS:
+                mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
+                out.append((mixed >> np.uint64(64 - BITS)).astype(np.uint32))
     return out or [np.zeros(0, np.uint32)]
 
 
@@ -113,8 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = n.get(1, 0) / max(1, sum(n.values()))
     some = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # two bounded samples of ids
-    rows = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    rows = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return train([(r.text.encode("utf-8", "replace"), r.toxic) for r in rows], share)
 
 
