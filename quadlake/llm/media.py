@@ -1,7 +1,7 @@
 """Audio features of 8-bit sample payloads.
 
 A payload is stored losslessly as a WAV file of unsigned 8-bit samples. Features are made
-from the stored bytes: polyphase resampling to half the rate, log-mel energies of frames
+from the stored bytes: polyphase resampling from 16 to 10 kHz (five phases of a windowed sinc), log-mel energies of frames
 that overlap by half, and spans of activity by two energy thresholds (a span begins above
 the upper one and lasts until energy falls below the lower one). Log-mel frames are stored
 as an Arrow fixed-shape tensor of blocks (frames x bands, the last block zero-padded) in an
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from quadlake.llm.common import slices, text_of, texts
 
-RATE, UP, DOWN, TAPS = 16000, 1, 2, 32
+RATE, UP, DOWN, TAPS = 16000, 5, 8, 32
 FRAME, HOP, BANDS, BLOCK = 256, 128, 24, 32
 UNIT, FRAMES_AT_A_TIME = 64, 4096
 
