@@ -7,7 +7,8 @@ the response; the others are revisit records which name it and carry no payload.
 Reader: goes from member to member. When a member fails (damaged gzip data, a bad length, a
 digest that does not match) it searches for the next place where a whole valid member, or an
 uncompressed record's version line, begins, goes on there, and logs the gap between as
-quarantined bytes. Records after a damaged part are recovered; so are the valid records of a
+quarantined bytes. Searches go on from where the last ones ended, members are inflated bit by bit until they
+fail, and a header has to end within ``HEAD`` bytes, so damage does not make reading slow. Records after a damaged part are recovered; so are the valid records of a
 member around a failed one, whose gap has the place of the member. Payload length and digest
 are checked where a record has them, so archives of other writers are read, too.
 
@@ -40,8 +41,8 @@ _SHA1 = re.compile(r"[A-Z2-7]{32}")
 RECORDS = "archive string, at long, size long, kind string, id string, uri string, refers_to string, digest string, payload_bytes long, payload binary, gap string"
 
 
-class Short(ValueError):
-    """A record or member goes on beyond the bytes at hand."""
+#: Bytes within which a record's header ends.
+HEAD = 1 << 16
 
 
 def digest_of(payload: bytes) -> str:
@@ -66,9 +67,9 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at ``at`` and its end; ValueError if it fails a check."""
     if not _LINE.match(data, at):
         raise ValueError("no version line")
-    end = data.find(EOL * 2, at)
+    end = data.find(EOL * 2, at, at + HEAD)
     if end < 0:
-        raise Short("no end of header")
+        raise ValueError("no end of header")
     head = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(b":") for x in data[at:end].split(EOL)[1:]) if colon}
     try:
         n = int(head[b"content-length"])
@@ -76,12 +77,10 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
         kind, digest = head[b"warc-type"].decode(), head.get(b"warc-payload-digest", b"").decode().removeprefix("sha1:") or None
     except (KeyError, UnicodeDecodeError) as e:
         raise ValueError(f"bad header: {e}") from e
-    payload = data[end + 4 : end + 4 + n]
     stop = end + 4 + n + 4
-    if len(data) < stop:
-        raise Short("bad length")
-    if n < 0 or data[stop - 4 : stop] != EOL * 2:
+    if n < 0 or len(data) < stop or data[stop - 4 : stop] != EOL * 2:
         raise ValueError("bad length")
+    payload = data[end + 4 : end + 4 + n]
     # Of HTTP messages the digest is that of the body; digests of other kinds cannot be checked.
     bodies = [payload, *payload.split(EOL * 2, 1)[1:]] if head.get(b"content-type", b"").startswith(b"application/http") else [payload]
     if kind == "response" and digest and _SHA1.fullmatch(digest) and digest not in map(digest_of, bodies):
@@ -90,65 +89,68 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {"kind": kind, "id": ident(b"warc-record-id"), "uri": head.get(b"warc-target-uri", b"").decode("utf-8", "replace"), "refers_to": ident(b"warc-refers-to"), "digest": digest, "payload_bytes": size, "payload": payload}, stop
 
 
-def _at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """Records of the member or plain record that begins at ``at``, and its end."""
-    if data.startswith(MAGIC, at):
-        z = zlib.decompressobj(31)
+def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
+    """The plain bytes of the member at ``at``, and its end."""
+    z, out, pos, step, view = zlib.decompressobj(31), [], at, 1 << 10, memoryview(data)
+    while not z.eof:
+        if pos >= len(data):
+            raise ValueError("member cut short")
         try:
-            plain = z.decompress(memoryview(data)[at:])
+            out.append(z.decompress(view[pos : pos + step]))
         except zlib.error as e:
             raise ValueError(f"bad member: {e}") from e
-        if not z.eof:
-            raise Short("member cut short")
-        out, inner, good, why = [], 0, False, ""
-        while inner < len(plain):
-            try:
-                r, inner = parse(plain, inner)
-                out.append(r)
-                good = True
-            except ValueError as e:
-                why = str(e)
-                if not out or out[-1]["kind"] != "gap":
-                    out.append({"kind": "gap", "gap": why})
-                line = _LINE.search(plain, inner + 1)
-                inner = line.start() if line else len(plain)
-        if not good:
-            raise ValueError(why or "empty member")
-        return out, len(data) - len(z.unused_data)
-    r, end = parse(data, at)
-    return [r], end
-
-
-def salvage(data: bytes, window: int = 1 << 15) -> Iterator[dict]:
+        pos, step = min(pos + step, len(data)), min(2 * step, 1 << 20)
+    return b"".join(out), pos - len(z.unused_data)
+
+
+def _at(data: bytes, at: int) -> tuple[list[dict], int]:
+    """Records of the member or plain record that begins at ``at``, and its end."""
+    if not data.startswith(MAGIC, at):
+        r, end = parse(data, at)
+        return [r], end
+    plain, end = _inflated(data, at)
+    out, inner, good, why = [], 0, False, ""
+    while inner < len(plain):
+        try:
+            r, inner = parse(plain, inner)
+            out.append(r)
+            good = True
+        except ValueError as e:
+            why = str(e)
+            if not out or out[-1]["kind"] != "gap":
+                out.append({"kind": "gap", "gap": why})
+            line = _LINE.search(plain, inner + 1)
+            inner = line.start() if line else len(plain)
+    if not good:
+        raise ValueError(why or "empty member")
+    return out, end
+
+
+def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive with ``at`` and ``size`` of the bytes they stand in; quarantined
-    gaps have kind "gap" and the reason in ``gap``. Data is decoded from a bounded window,
-    which is enlarged when a member needs more."""
+    gaps have kind "gap" and the reason in ``gap``. Records and gaps cover all bytes, in order."""
     at, bad, why = 0, -1, ""
+    magic = line = -1  # the next ones from where they were last looked for
     while at < len(data):
         try:
-            part, found = window, None
-            while found is None:
-                piece = data[at : at + part]
-                try:
-                    found = _at(piece, 0)
-                except Short:
-                    if at + part >= len(data):
-                        raise
-                    part *= 16
+            records, end = _at(data, at)
         except ValueError as e:
             if bad < 0:
                 bad, why = at, str(e)
-            line = _LINE.search(data, at + 1)
-            starts = [data.find(MAGIC, at + 1), line.start() if line else -1]
-            at = min((x for x in starts if x >= 0), default=len(data))
+            if magic <= at:
+                magic = data.find(MAGIC, at + 1)
+                magic = len(data) if magic < 0 else magic
+            if line <= at:
+                found = _LINE.search(data, at + 1)
+                line = found.start() if found else len(data)
+            at = min(magic, line)
             continue
         if bad >= 0:
             yield {"kind": "gap", "at": bad, "size": at - bad, "gap": why}
             bad = -1
-        records, size = found
         for r in records:
-            yield r | {"at": at, "size": size}
-        at += size
+            yield r | {"at": at, "size": end - at}
+        at = end
     if bad >= 0:
         yield {"kind": "gap", "at": bad, "size": len(data) - bad, "gap": why}
 

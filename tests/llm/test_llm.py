@@ -399,6 +399,50 @@ def test_warc_of_other_writers():
     assert [r["kind"] for r in warc.salvage(warc.member(wrong))] == ["gap"]
 
 
+def test_salvage_of_random_damage():
+    rng = np.random.default_rng(3)
+    for zipped in (True, False):
+        parts = []
+        for i in range(30):
+            payload = rng.integers(0, 256, int(rng.integers(0, 4000)), np.uint8).tobytes() if i % 3 else b"text " * int(rng.integers(0, 900))
+            one = warc.record("response", str(i), "u", payload, len(payload), warc.digest_of(payload))
+            parts.append(warc.member(one) if zipped else one)
+        data, ends = b"".join(parts), np.cumsum(list(map(len, parts)))
+        for _ in range(40):
+            hurt, at, n = bytearray(data), int(rng.integers(0, len(data))), int(rng.integers(1, 3000))
+            how = int(rng.integers(0, 3))
+            if how == 0:
+                hurt[at : at + n] = bytes(min(n, len(hurt) - at))
+            elif how == 1:
+                del hurt[at : at + n]
+            else:
+                hurt[at:at] = (b"\x1f\x8b\x08\0" * n)[:n]
+            out = list(warc.salvage(bytes(hurt)))
+            touched = {i for i, end in enumerate(ends) if end - len(parts[i]) < at + (n if how < 2 else 0) and end > at}
+            got = [int(r["id"]) for r in out if r["kind"] != "gap"]
+            assert set(range(30)) - touched <= set(got) and len(got) == len(set(got))
+            covered, last = 0, -1
+            for r in out:
+                if r["at"] != last:
+                    assert r["at"] == covered
+                    covered, last = r["at"] + r["size"], r["at"]
+            assert covered == len(hurt)
+
+
+def test_salvage_is_not_slowed_by_false_beginnings():
+    import time
+
+    def seconds(data):
+        start = time.process_time()
+        out = list(warc.salvage(data))
+        assert out[-1]["kind"] == "response" and len(out) == 2
+        return time.process_time() - start
+
+    good = warc.member(warc.record("response", "1", "u", b"x", 1, warc.digest_of(b"x")))
+    for false in (b"\x1f\x8b\x08\0\1\2\3", b"WARC/1.0\r\n", b"WARC/1.0\r\nContent-Length: 99999999\r\n"):
+        assert seconds(false * (2_000_000 // len(false)) + good) < 20
+
+
 def test_cut_texts_keep_replacement_characters(spark):
     import corpus_pipeline
 
