@@ -108,10 +108,22 @@ def bucket_count(tiles: DataFrame, buckets: int, bucket: int) -> DataFrame:
     return with_bucket(tiles, buckets).agg(n.alias("bucket_count"))
 
 
+#: Parts that the columns of a zoom are cut to where its tiles are numbered.
+PARTS = 4096
+
+
 def numbered(tiles: DataFrame) -> DataFrame:
-    """Row numbers from 1 within each zoom, by x and y, and the zoom's count."""
-    zoom = Window.partitionBy("zoom")
-    return tiles.withColumns({"index": F.row_number().over(zoom.orderBy("x", "y")), "total": F.count("*").over(zoom)})
+    """Row numbers from 1 within each zoom, by x and y, and the zoom's count.
+
+    No task holds a zoom: its columns are cut to ``PARTS`` ranges between the least and the greatest, rows are
+    numbered within a range, and the counts of the ranges before (at most PARTS for each zoom) are added."""
+    bounds = tiles.groupBy("zoom").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.count("*").alias("total"))
+    own = tiles.join(F.broadcast(bounds), "zoom").withColumn("_part", F.expr(f"(x - _lo) div ((_hi - _lo) div {PARTS} + 1)")).drop("_lo", "_hi")
+    counts = own.groupBy("zoom", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("zoom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select("zoom", "_part", before.alias("_base"))
+    index = F.row_number().over(Window.partitionBy("zoom", "_part").orderBy("x", "y")) + F.col("_base")
+    return own.join(F.broadcast(base), ["zoom", "_part"]).withColumn("index", index.cast("long")).select(*tiles.columns, "index", "total")
 
 
 def sample(tiles: DataFrame, kind: str, amount: float) -> DataFrame:

@@ -190,41 +190,90 @@ class Style:
             return False
         return not any(_zero(rule.get("paint", {}).get(p), at) for p in PAINT)
 
-    def zooms(self, rule: dict, most: int = 32) -> list[int]:
-        return [z for z in range(most) if self.shown(rule, z)]
+    def zooms(self, rule: dict, zooms=range(256)) -> list[int]:
+        """Those of ``zooms`` at which a rule draws."""
+        return [z for z in zooms if self.shown(rule, z)]
 
     def _applies(self, rule: dict) -> Column:
-        return (F.col("layer") == rule["source-layer"]) & F.col("zoom").isin(self.zooms(rule))
+        """Whether a rule draws the feature's layer at its zoom, at any zoom that data may have."""
+        zoom, paint = F.col("zoom"), [rule.get("paint", {}).get(p) for p in PAINT]
+        if (rule.get("layout") or {}).get("visibility") == "none" or any(_number(p) and p == 0 for p in paint):
+            return F.lit(False)
+        own = F.col("layer") == rule["source-layer"]
+        if "minzoom" in rule:
+            own = own & (zoom >= F.lit(rule["minzoom"]))
+        if "maxzoom" in rule:
+            own = own & (zoom < F.lit(rule["maxzoom"]))
+        hidden = sorted({int(z) for p in paint for z, *_ in _stops(p) if _zero(p, int(z))})
+        return own & ~zoom.isin(hidden) if hidden else own
+
+    def by_layer(self) -> dict[str, list[dict]]:
+        out: dict[str, list[dict]] = {}
+        for rule in self.rules:
+            out.setdefault(rule["source-layer"], []).append(rule)
+        return out
+
+    def _chosen(self, of, otherwise: Column) -> Column:
+        """``of(rules)`` by the feature's layer, as one CASE."""
+        out = None
+        for layer, rules in self.by_layer().items():
+            test = F.col("layer") == layer
+            out = F.when(test, of(rules)) if out is None else out.when(test, of(rules))
+        return out.otherwise(otherwise)
 
     def visible(self) -> Column:
         """Whether some rule shows the feature's layer at its zoom."""
-        return reduce(Column.__or__, map(self._applies, self.rules))
+        return self._chosen(lambda rules: reduce(Column.__or__, map(self._applies, rules)), F.lit(False))
+
+    def properties(self) -> list[str]:
+        """Properties that the filters may read, by any text in them."""
+        found: set[str] = set()
+
+        def walk(x) -> None:
+            if isinstance(x, str):
+                found.add(x)
+            elif isinstance(x, list):
+                for y in x:
+                    walk(y)
+
+        for rule in self.rules:
+            walk(rule.get("filter"))
+        return sorted(found)
 
     def decision(self) -> tuple[Column, Column]:
         """Whether a rule keeps the feature (null: unknown); and how many rules before the first
-        that keeps it are unknown."""
-        result, n, kept = F.lit(False), F.lit(0), F.lit(False)
-        for rule in self.rules:
-            own = compiled(rule["filter"]) if "filter" in rule else None
-            own = F.lit(True) if own is None else own
-            applies = self._applies(rule)
-            result = result | F.when(applies, own).otherwise(False)
-            n = n + (applies & own.isNull() & ~kept).cast("int")
-            kept = kept | (applies & F.coalesce(own, F.lit(False)))
-        return result, n
-
-    def table(self, spark):
-        """(source_layer, zoom) pairs that are visible: bounded by rules x zooms."""
-        rows = sorted({(r["source-layer"], z) for r in self.rules for z in self.zooms(r)})
+        that keeps it are unknown. Rules of other layers say nothing of a feature."""
+        def decided(rules: list[dict], count: bool) -> Column:
+            result, n, kept = F.lit(False), F.lit(0), F.lit(False)
+            for rule in rules:
+                own = compiled(rule["filter"]) if "filter" in rule else None
+                own = F.lit(True) if own is None else own
+                applies = self._applies(rule)
+                result = result | F.when(applies, own).otherwise(False)
+                n = n + (applies & own.isNull() & ~kept).cast("int")
+                kept = kept | (applies & F.coalesce(own, F.lit(False)))
+            return n if count else result
+
+        return self._chosen(lambda rules: decided(rules, False), F.lit(False)), self._chosen(lambda rules: decided(rules, True), F.lit(0))
+
+    def table(self, spark, zooms=range(256)):
+        """(source_layer, zoom) pairs that are visible at some of ``zooms``: bounded by rules x zooms."""
+        rows = sorted({(r["source-layer"], z) for r in self.rules for z in self.zooms(r, zooms)})
         return spark.createDataFrame(rows, "source_layer string, zoom int")
 
 
+def _number(x) -> bool:
+    return isinstance(x, int | float) and not isinstance(x, bool)
+
+
+def _stops(paint) -> list:
+    """The stops of a paint value, if all of them are readable."""
+    stops = paint.get("stops") if isinstance(paint, dict) else None
+    return stops if isinstance(stops, list) and all(isinstance(s, list) and len(s) >= 2 and _number(s[0]) and _number(s[1]) for s in stops) else []
+
+
 def _zero(paint, at: int) -> bool:
     """Whether a paint value is zero at a zoom; stops count at their own zoom only."""
-    number = lambda v: isinstance(v, int | float) and not isinstance(v, bool)
-    if number(paint):
+    if _number(paint):
         return paint == 0
-    stops = paint.get("stops") if isinstance(paint, dict) else None
-    if not isinstance(stops, list) or not all(isinstance(s, list) and len(s) >= 2 and number(s[0]) and number(s[1]) for s in stops):
-        return False
-    return next((v == 0 for z, v, *_ in stops if int(z) == at), False)
+    return next((v == 0 for z, v, *_ in _stops(paint) if int(z) == at), False)

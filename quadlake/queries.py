@@ -235,7 +235,7 @@ _DECIDED = f"""{FEATURES}, d AS (SELECT *, {" OR ".join(f"({c})" for c, _ in _RU
 
 @query("SELECT * FROM (VALUES ('AF', 2), ('AF', 3), ('AF', 4)) v(source_layer, zoom) UNION ALL SELECT 'RF', range::INT FROM range(32) UNION ALL SELECT 'NO', range::INT FROM range(32) WHERE range <> 3")
 def style_visible_layers(spark, sf):
-    return Style(STYLE).table(spark)
+    return Style(STYLE).table(spark, range(32))
 
 
 @query(f"WITH {_DECIDED} SELECT zoom, x, feature_index FROM d WHERE visible AND coalesce(decision, true)")
@@ -299,14 +299,14 @@ for _name, _rule, _sql in (
 def layer_semi(spark, sf):
     f = line_features(spark, sf)
     wanted = spark.createDataFrame([("AF",), ("RF",)], "layer string")
-    return f.join(F.broadcast(wanted), "layer", "left_semi").groupBy("layer").agg(F.count("*").alias("n"))
+    return fo.layer_semi(f, wanted).groupBy("layer").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {FEATURES} SELECT layer, count(*) AS n FROM f WHERE layer NOT IN ('AF', 'RF') GROUP BY layer")
 def layer_anti(spark, sf):
     f = line_features(spark, sf)
     wanted = spark.createDataFrame([("AF",), ("RF",)], "layer string")
-    return f.join(F.broadcast(wanted), "layer", "left_anti").groupBy("layer").agg(F.count("*").alias("n"))
+    return fo.layer_anti(f, wanted).groupBy("layer").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey AS x, o_custkey AS tile_id, c_name AS tile_data FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -398,18 +398,23 @@ def simplify_lines(spark, sf):
     return polylines(spark, sf).select("vec_id", F.size(F.get(simplified(F.col("line"), False, 0.1), 0)).alias("points"))
 
 
-@query("SELECT page_id, octet_length(encode(html))::BIGINT AS n_bytes, true AS same FROM pages")
+@query("SELECT page_id, octet_length(encode(html))::BIGINT AS n_bytes, sha256(html) AS digest, true AS zipped FROM pages")
 def gzip_roundtrip(spark, sf):
-    from quadlake.sources.archive import gunzipped, gzipped
+    from quadlake.sources.archive import gunzipped, gzipped, is_gzip
 
-    p = read(spark, sf, "pages").select("page_id", F.col("html").cast("binary").alias("data"))
-    return p.select("page_id", F.octet_length("data").cast("long").alias("n_bytes"), (gunzipped(gzipped(F.col("data"))) == F.col("data")).alias("same"))
+    p = read(spark, sf, "pages").select("page_id", gzipped(F.col("html").cast("binary")).alias("data"))
+    back = gunzipped(F.col("data"))
+    return p.select("page_id", F.octet_length(back).cast("long").alias("n_bytes"), F.sha2(back, 256).alias("digest"), is_gzip(F.col("data")).alias("zipped"))
 
 
-@query("SELECT l_linenumber AS zoom, l_returnflag || l_linestatus AS layer, count(*) AS n FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL")
+@query("""SELECT l_linenumber AS zoom, l_returnflag || l_linestatus AS layer, count(*) AS n, sum(l_partkey)::BIGINT AS ids, count(*) FILTER (l_quantity <= 45) AS with_quantity, sum(CASE WHEN l_quantity <= 45 THEN l_quantity END) AS quantity
+FROM lineitem GROUP BY ALL""")
 def mvt_roundtrip(spark, sf):
-    """All lines encoded to tiles by zoom and decoded again; its SQL then counts the features of orders up to 2000."""
-    return all_decoded(spark, sf).where("x <= 2000").groupBy("zoom", "layer").agg(F.count("*").alias("n"))
+    """All lines encoded to tiles and decoded again."""
+    quantity = F.col("properties")["quantity"]
+    return all_decoded(spark, sf).groupBy("zoom", "layer").agg(
+        F.count("*").alias("n"), F.sum("feature_id").cast("long").alias("ids"), F.count(quantity).alias("with_quantity"), F.sum(quantity["d"]).alias("quantity")
+    )
 
 
 def all_decoded(spark: SparkSession, sf: str) -> DataFrame:

@@ -193,17 +193,22 @@ def metadata(path: str) -> dict:
     return {k: v if isinstance(v, str) else json.dumps(v) for k, v in (json.loads(raw) if raw else {}).items()}
 
 
+#: Ranges of ids that entries are cut to for running sums.
+RANGES = 1 << 14
+
+
 def offsets(entries: DataFrame) -> DataFrame:
     """Entries (tile_id, length) with their offset in the data section and the step of ids.
 
-    A running sum over all rows: ranges of ids are summed first, and only those sums, one for
-    each partition, go to one task."""
-    ranged = entries.repartitionByRange("tile_id").withColumn("part", F.spark_partition_id())
+    A running sum over all rows: ids are cut to ``RANGES`` ranges between the least and the greatest, ranges are
+    summed first, and only those sums, of a bounded number, go to one task."""
+    bounds = entries.agg(F.min("tile_id").alias("_lo"), F.max("tile_id").alias("_hi"))
+    ranged = entries.crossJoin(F.broadcast(bounds)).withColumn("part", F.expr(f"(tile_id - _lo) div ((_hi - _lo) div {RANGES} + 1)")).drop("_lo", "_hi")
     parts = ranged.groupBy("part").agg(F.sum("length").alias("sum"), F.max("tile_id").alias("last"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(before), F.lit(0)).alias("last"))
     own = Window.partitionBy("part").orderBy("tile_id")
-    rows = ranged.join(parts, "part")
+    rows = ranged.join(F.broadcast(parts), "part")
     return rows.select(
         *entries.columns, (F.col("base") + F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("offset"),
         (F.col("tile_id") - F.coalesce(F.lag("tile_id").over(own), F.col("last"))).alias("delta"),
