@@ -111,7 +111,11 @@ def inspect(spark: SparkSession, a: argparse.Namespace) -> list[str]:
         "layers": (a.include_layer_list or given and "layers" in a.stats) and a.report_format != "ndjson", "recommendations": a.recommend, "bucket": a.bucket is not None, "bucket_tiles": a.list_tiles,
         "top_tiles": a.topn > 0, "top_tile_summaries": a.recommend and a.topn > 0, "tile_summary": bool(a.tile),
     }
-    return shown({n: report.section(n) for n, yes in keep.items() if yes and n in chosen}, a.report_format)
+    sections = [n for n, yes in keep.items() if yes and n in chosen]
+    if a.report_format == "ndjson":
+        rows = report.json_lines(",".join(sections), a.ndjson_compact, keep["summary"]).collect() if sections else []
+        return [json.dumps({"type": r.type} | json.loads(r.record)) for r in rows]
+    return shown({n: report.section(n) for n in sections}, a.report_format)
 
 
 def optimize(spark: SparkSession, a: argparse.Namespace) -> list[str]:

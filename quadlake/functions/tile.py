@@ -59,6 +59,24 @@ def hilbert_tile(number: int) -> tuple[int, int, int]:
     return z, x, y
 
 
+def hilbert_tiles(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Zooms, columns and rows of numbers on the curve."""
+    numbers = np.asarray(numbers, np.int64)
+    first = np.array([(4**z - 1) // 3 for z in range(32)], np.int64)  # of each zoom
+    z = np.searchsorted(first, numbers, "right") - 1
+    rest = numbers - first[z]
+    x, y = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    for i in range(int(z.max(initial=0))):
+        live = z > i
+        rx, ry = rest >> 1 & 1, (rest ^ rest >> 1) & 1
+        turn, side = live & (ry == 0), (1 << i) - 1
+        flip = turn & (rx == 1)
+        x, y = np.where(flip, side - x, x), np.where(flip, side - y, y)
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        x, y, rest = x + np.where(live, rx << i, 0), y + np.where(live, ry << i, 0), np.where(live, rest >> 2, rest)
+    return z, x, y
+
+
 def bucket_size(low: Column, high: Column, n: int) -> Column:
     return F.ceil(F.greatest(high - low, F.lit(1)) / F.lit(float(n))).cast("long")
 

@@ -73,9 +73,66 @@ class Report:
             "top_tile_summaries": lambda: self._tile_summary(self._top_features(), ["zoom", "x", "y"]),
         }[name]()
 
-    def json_lines(self, sections: str | None = None) -> DataFrame:
-        names = [n for n in ("summary", "zoom", "histogram", "histogram_by_zoom", "bucket", "bucket_tiles", "top_tiles", "recommendations") if n in wanted(sections)]
-        return records({n: self.section(n) for n in names})
+    def _summaries(self, features: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Of each tile its totals, with its layers nested; ``sizes`` has the tiles' bytes."""
+        place = ["zoom", "x", "y"]
+        some = features.where(F.col("layer").isin(self.layers)) if self.layers else features
+        own = self._tile_summary(features, place)
+        layers = own.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("layer", *(c for c in own.columns if c not in (*place, "layer"))))).alias("layers"))
+        return fo.tile_summary(some).join(layers, place).join(sizes.select(*place, "tile_bytes"), place)
+
+    def json_lines(self, sections: str | None = None, compact: bool = False, summary: bool = True) -> DataFrame:
+        """type, record: the record stream in its order. ``compact`` has no summary record and nests less."""
+        names, t = wanted(sections), self.tiles
+        tile = ["zoom", "x", "y", "tile_bytes"]
+        flat = (F.col("zoom").alias("z"), "x", "y", F.col("tile_bytes").alias("bytes"))
+        whole = lambda df, order: F.sort_array(F.collect_list(F.struct(order, *(c for c in df.columns if c != order))))
+
+        def listed(kind: str, df: DataFrame, order: list) -> DataFrame:
+            record = F.struct(*flat) if compact else F.struct(F.struct(*tile).alias("tile"))
+            return df.select(F.lit(kind).alias("type"), F.to_json(record).alias("record"), F.struct(*order).alias("at"))
+
+        def summaries(kind: str, df: DataFrame) -> DataFrame:
+            short = F.struct(*flat, F.col("layer_count").alias("layers"), F.col("feature_count").alias("total_features"), F.col("vertex_count").alias("vertices"), F.col("property_keys").alias("keys"), F.col("property_values").alias("values"))
+            record = short if compact else F.struct(F.struct(*df.columns).alias("summary"))
+            return df.select(F.lit(kind).alias("type"), F.to_json(record).alias("record"), F.struct(-F.col("tile_bytes"), -F.col("zoom"), -F.col("x"), -F.col("y")).alias("at"))
+
+        def one(kind: str, df: DataFrame, record) -> DataFrame:
+            return df.select(F.lit(kind).alias("type"), F.to_json(record).alias("record"), F.lit(0).alias("at"))
+
+        parts = []
+        if "summary" in names and summary and not compact:
+            zooms = to.by_zoom(t)
+            zooms = zooms.agg(whole(zooms, "zoom").alias("by_zoom"))
+            total = to.overall(t)
+            parts.append(one("summary", total.select(F.struct("*").alias("overall")).crossJoin(zooms).crossJoin(self._summary().select("used", "empty_tiles", "empty_ratio", "over_limit")), F.struct("*")))
+        if "histogram" in names and self.buckets:
+            h = self.section("histogram")
+            h = h.agg(F.count("*").alias("bucket_count"), whole(h, "bucket").alias("buckets")).where("bucket_count > 0")
+            parts.append(one("histogram", h, F.struct("bucket_count" if compact else "buckets")))
+        if "histogram_by_zoom" in names and self.buckets:
+            h = self.section("histogram_by_zoom")
+            h = h.groupBy("zoom").agg(F.count("*").alias("bucket_count"), whole(h.drop("zoom"), "bucket").alias("buckets"))
+            parts.append(h.select(F.lit("histogram_by_zoom").alias("type"), F.to_json(F.struct("zoom", "bucket_count" if compact else "buckets")).alias("record"), F.col("zoom").alias("at")))
+        if "bucket" in names and self.bucket is not None:
+            parts.append(one("bucket_count", self.section("bucket").where(F.col("bucket_count").isNotNull()), F.struct(F.col("bucket_count").alias("count"))))
+        if "bucket_tiles" in names and self.bucket is not None:
+            parts.append(listed("bucket_tile", self.section("bucket_tiles"), [-F.col("tile_bytes"), "zoom", "x", "y"] if self.sort == "size" else ["zoom", "x", "y"]))
+        if "top_tiles" in names and self.topn:
+            parts.append(listed("top_tile", self.section("top_tiles"), [-F.col("tile_bytes"), -F.col("zoom"), -F.col("x"), -F.col("y")]))
+        if "tile_summary" in names and self.tile is not None:
+            parts.append(summaries("tile_summary", self._summaries(self.tile, t)))
+        if "recommendations" in names and self.buckets:
+            r = self.section("recommendations").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).where(F.size("buckets") > 0)
+            parts.append(one("recommended_buckets", r, F.struct("buckets")))
+        if "top_tile_summaries" in names and self.topn and self.features is not None:
+            parts.append(summaries("top_tile_summary", self._summaries(self._top_features(), to.top(t, self.topn))))
+        if not parts:
+            return t.sparkSession.createDataFrame([], "type string, record string")
+        # Each part's order as text of one kind of column, behind the part's own number.
+        place = lambda df: df.orderBy("at").select("type", "record")
+        numbered = [place(df).withColumn("n", F.lit(i)).withColumn("k", F.monotonically_increasing_id()) for i, df in enumerate(parts)]
+        return reduce(DataFrame.unionByName, numbered).orderBy("n", "k").select("type", "record")
 
 
 def records(sections: dict[str, DataFrame]) -> DataFrame:

@@ -1,6 +1,6 @@
 """The single-file archive format with a Hilbert-ordered directory (version 3): header, directories
-and payloads; a data source that reads it, and a writer. Compression codes written are 0 none and
-1 gzip; gzip is recognised by its magic bytes when read, and other codes are an error.
+and payloads; a data source that reads it, and a writer. Compression codes are 0 none, 1 gzip and, where its
+module is installed, 2 brotli; gzip is recognised by its magic bytes when read, and other codes are an error.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quadlake.functions.tile import hilbert_id, hilbert_tile
+from quadlake.functions.tile import hilbert_id, hilbert_number, hilbert_tiles
 
 MAGIC, HEADER = b"PMTiles", struct.Struct("<7sB11Q6B4iB2i")
 FIELDS = (
@@ -31,13 +32,24 @@ def gunzip(data: bytes) -> bytes:
     return zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
 
 
+def brotli():
+    """The brotli module, which is not needed for anything else."""
+    try:
+        import brotli as module
+    except ImportError as e:
+        raise ValueError("compression 2 needs the brotli module, which is not installed") from e
+    return module
+
+
 def unpacked(data: bytes, code: int) -> bytes:
-    """Plain bytes: by magic, else by code."""
+    """Plain bytes: by magic, else by code (0 none, 1 gzip, 2 brotli)."""
     if data[:2] == b"\x1f\x8b":
         return gunzip(data)
     if code in (0, 1):
         return data
-    raise ValueError("brotli is not supported here" if code == 2 else f"unknown compression {code}")
+    if code == 2:
+        return brotli().decompress(data) if data else data
+    raise ValueError(f"unknown compression {code}")
 
 
 def packed(data: bytes, code: int) -> bytes:
@@ -45,6 +57,8 @@ def packed(data: bytes, code: int) -> bytes:
         return data
     if code == 1:
         return gzip.compress(data, mtime=0)
+    if code == 2:
+        return brotli().compress(data, quality=5, lgwin=22)
     raise ValueError(f"compression {code} cannot be written here")
 
 
@@ -133,7 +147,8 @@ class _Leaf(InputPartition):
 class ArchiveSource(DataSource):
     """Tiles of an archive: zoom, x, y, tile_bytes, tile_data (null unless includeData is true), tile_id.
 
-    Each leaf directory, and up to 10 000 entries of the root, is a partition.
+    Each leaf directory, and up to 10 000 entries of the root, is a partition. ``zoom`` reads one zoom only, and
+    with ``x`` and ``y`` one tile: its ids are one range, and leaves beyond it are not read.
     """
 
     @classmethod
@@ -147,6 +162,11 @@ class ArchiveSource(DataSource):
         return _ArchiveReader(self.options)
 
 
+#: Rows and payload bytes of an Arrow batch.
+ROWS, BYTES = 8192, 16 << 20
+_SCHEMA = pa.schema([("zoom", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("tile_bytes", pa.int64()), ("tile_data", pa.binary()), ("tile_id", pa.int64())])
+
+
 class _ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.data = options["path"], str(options.get("includedata", options.get("includeData", "false"))).lower() == "true"
@@ -154,6 +174,16 @@ class _ArchiveReader(DataSourceReader):
             raise ValueError("the path of an archive ends in .pmtiles")
         with open(self.path, "rb") as f:
             self.header = read_header(f.read(HEADER.size))
+        # The ids that are read.
+        self.low, self.high = 0, 1 << 63
+        if "zoom" in options:
+            z = int(options["zoom"])
+            self.low, self.high = (4**z - 1) // 3, (4 ** (z + 1) - 1) // 3
+            if "x" in options and "y" in options:
+                x, y = int(options["x"]), int(options["y"])
+                inside = 0 <= x < 1 << z and 0 <= y < 1 << z
+                self.low = hilbert_number(z, x, y) if inside else 0
+                self.high = self.low + int(inside)
 
     def _at(self, offset: int, length: int) -> bytes:
         with open(self.path, "rb") as f:
@@ -163,25 +193,52 @@ class _ArchiveReader(DataSourceReader):
     def directory(self, offset: int, length: int) -> list[tuple[int, int, int, int]]:
         return decode_directory(unpacked(self._at(offset, length), self.header["internal_compression"]))
 
+    def wanted(self, entries: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Entries that may have ids of the range: runs that overlap it, and leaves that begin below its end, up
+        from the last one that begins at its begin or before."""
+        out, ends = [], [e[0] for e in entries[1:]] + [1 << 63]
+        for e, end in zip(entries, ends, strict=True):
+            last = e[0] + e[3] if e[3] else end
+            if e[0] < self.high and last > self.low:
+                out.append(e)
+        return out
+
     def partitions(self) -> list[InputPartition]:
-        root = self.directory(self.header["root_offset"], self.header["root_length"])
+        root = self.wanted(self.directory(self.header["root_offset"], self.header["root_length"]))
         own = [e for e in root if e[3]]
-        return [_Leaf([e]) for e in root if not e[3] and e[2]] + [_Leaf(own[i : i + 10_000]) for i in range(0, len(own), 10_000)]
+        return [_Leaf([e]) for e in root if not e[3] and e[2]] + [_Leaf(own[i : i + 10_000]) for i in range(0, len(own), 10_000)] or [_Leaf([])]
 
-    def read(self, partition: _Leaf) -> Iterator[tuple]:
+    def read(self, partition: _Leaf) -> Iterator[pa.RecordBatch]:
         todo = list(partition.entries)
+        ids, lengths, data, size = [], [], [], 0
         with open(self.path, "rb") as f:
             while todo:
                 tile, offset, length, run = todo.pop()
                 if not run:
-                    todo += self.directory(self.header["leaf_offset"] + offset, length) if length else []
+                    todo += self.wanted(self.directory(self.header["leaf_offset"] + offset, length)) if length else []
                     continue
-                data = None
+                payload = None
                 if self.data:
                     f.seek(self.header["data_offset"] + offset)
-                    data = f.read(length)
-                for i in range(tile, tile + run):
-                    yield (*hilbert_tile(i), length, data, i)
+                    payload = f.read(length)
+                lo, hi = max(tile, self.low), min(tile + run, self.high)
+                while lo < hi:
+                    n = min(hi - lo, max(1, min(ROWS - len(ids), (BYTES - size) // max(1, length * self.data))))
+                    ids.append(np.arange(lo, lo + n)), lengths.append(np.full(n, length))
+                    data += [payload] * n
+                    size += n * length * self.data
+                    lo += n
+                    if len(data) >= ROWS or size >= BYTES:
+                        yield _batch(ids, lengths, data)
+                        ids, lengths, data, size = [], [], [], 0
+        if data:
+            yield _batch(ids, lengths, data)
+
+
+def _batch(ids: list[np.ndarray], lengths: list[np.ndarray], data: list) -> pa.RecordBatch:
+    number = np.concatenate(ids)
+    z, x, y = hilbert_tiles(number)
+    return pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(x), pa.array(y), pa.array(np.concatenate(lengths), pa.int64()), pa.array(data, pa.binary()), pa.array(number, pa.int64())], schema=_SCHEMA)
 
 
 def metadata(path: str) -> dict:

@@ -88,11 +88,11 @@ class Tileset:
 
     def tiles(self, zoom: int | None = None, data: bool = False) -> DataFrame:
         """zoom, x, y, tile_bytes, and tile_data if asked for."""
-        options = {"path": self.path, "includeData": str(data).lower()}
-        if zoom is not None and self.kind == "mbtiles":
-            options["zoom"] = str(zoom)
-        rows = self.spark.read.format(self.kind).options(**options).load()
-        rows = rows if zoom is None else rows.where(F.col("zoom") == zoom)
+        return self._read(data, {} if zoom is None else {"zoom": zoom})
+
+    def _read(self, data: bool, place: dict[str, int]) -> DataFrame:
+        """Tiles at a place, which the source looks up."""
+        rows = self.spark.read.format(self.kind).options(path=self.path, includeData=str(data).lower(), **{k: str(v) for k, v in place.items()}).load()
         return rows.select(*PLACE, "tile_bytes", *["tile_data"] * data)
 
     def metadata(self) -> dict[str, str]:
@@ -103,7 +103,7 @@ class Tileset:
 
     def tile(self, z: int, x: int, y: int) -> DataFrame:
         """One tile with its payload, in at most one row."""
-        return self.tiles(z, True).where((F.col("x") == x) & (F.col("y") == y)).limit(1)
+        return self._read(True, {"zoom": z, "x": x, "y": y}).limit(1)
 
     def inspect(self, zoom: int | None = None, sample: tuple[str, float] | None = None, layers: list[str] | None = None, tile: tuple[int, int, int] | None = None, **options) -> Report:
         """A report; ``options`` are those of Report."""
@@ -113,7 +113,8 @@ class Tileset:
         if sample:
             some = some.join(rows.select(*PLACE), PLACE, "left_semi")
         one = mvt.decoded(self.tile(*tile)) if tile else None
-        return Report(rows, whole=whole if sample and sample[0] == "ratio" else None, features=mvt.decoded(some), tile=one, layers=layers, metadata=self.metadata, **options)
+        # Tiles of a sample that cannot be decoded are passed over.
+        return Report(rows, whole=whole if sample and sample[0] == "ratio" else None, features=mvt.decoded(some, strict=not sample), tile=one, layers=layers, metadata=self.metadata, **options)
 
     def optimize(self, style: Style, mode: str = "layer+filter", keep_unknown: bool = True, drop_empty: bool = False) -> DataFrame:
         return optimized(self.tiles(data=True), style, mode, keep_unknown, drop_empty)

@@ -72,7 +72,7 @@ def test_command_line(spark, path, tmp_path, capsys):
     code, out = run("inspect", path, "--report-format", "json", "-z", "1", "-x", "1", "-y", "0", "--stats", "tile_summary")
     assert {r["layer"]: r["property_names"] for r in json.loads(out)["tile_summary"]} == {"roads": ["class", "lanes"], "water": ["d", "deep"]}
     types = lambda *a: {json.loads(x)["type"] for x in run("inspect", path, *a)[1].splitlines()}
-    assert types("--ndjson-compact", "--topn", "1") == {"zoom", "histogram", "histogram_by_zoom", "top_tiles"}
+    assert types("--ndjson-compact", "--topn", "1") == {"histogram", "histogram_by_zoom", "top_tile"}
     assert "summary" in types("--report-format", "ndjson", "--fast")
     assert run("inspect", path, "--summary")[0] == run("inspect", path, "--recommend")[0] == 1
     code, out = run("optimize", path, "--style", str(style), "--drop-empty-tiles", "--report-format", "json")
@@ -81,6 +81,26 @@ def test_command_line(spark, path, tmp_path, capsys):
     assert run("copy", path, "--output-format", "pmtiles")[1].endswith("3 tiles\n")
 
 
+def test_record_stream(spark, path, capsys):
+    def stream(*a):
+        assert main(["inspect", path, "--report-format", "ndjson", *a]) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    rows = stream("--topn", "3", "--bucket", "0", "--list-tiles", "--histogram-buckets", "2")
+    assert [r["type"] for r in rows] == ["summary", "histogram", "histogram_by_zoom", "histogram_by_zoom", "bucket_count", *["bucket_tile"] * rows[4]["count"], *["top_tile"] * 3]
+    assert rows[0]["overall"]["tile_count"] == 3 and [z["zoom"] for z in rows[0]["by_zoom"]] == [0, 1] and rows[0]["used"] == 3
+    assert [b["bucket"] for b in rows[1]["buckets"]] == [0, 1] and [r["zoom"] for r in rows[2:4]] == [0, 1]
+    sizes = [r["tile"]["tile_bytes"] for r in rows if r["type"] == "top_tile"]
+    assert sizes == sorted(sizes, reverse=True)
+    rows = stream("--ndjson-compact", "--topn", "2", "-z", "1", "--recommend", "--histogram-buckets", "2", "--max-tile-bytes", "10")
+    kinds = [r["type"] for r in rows]
+    assert kinds == ["histogram", "top_tile", "top_tile", "recommended_buckets", "top_tile_summary", "top_tile_summary"]
+    assert rows[0]["bucket_count"] == 2 and rows[1].keys() == {"type", "z", "x", "y", "bytes"} and rows[3]["buckets"] == sorted(rows[3]["buckets"])
+    assert [(r["z"], r["x"], r["y"], r["bytes"]) for r in rows[4:]] == [(r["z"], r["x"], r["y"], r["bytes"]) for r in rows[1:3]] and {r["total_features"] for r in rows[4:]} == {4, 1}
+    (row,) = [r for r in stream("--tile", "1/1/0", "--summary") if r["type"] == "tile_summary"]
+    assert row["summary"]["layer_count"] == 2 and {x["layer"]: x["feature_count"] for x in row["summary"]["layers"]} == {"roads": 3, "water": 1}
+
+
 def test_formats():
     assert format_of("A.MBTiles") == "mbtiles" and output_of("d/a.mbtiles", None, "pmtiles", "pruned") == ("d/a.pruned.pmtiles", "pmtiles")
     for bad in (lambda: format_of("a.txt"), lambda: output_of("a.mbtiles", "b.pmtiles", "mbtiles", "x")):
