@@ -1,12 +1,13 @@
 """What the operators share: the scratch folder, written tables, Arrow helpers.
 
 Intermediate tables go to the folder that the session names in ``spark.checkpoint.dir``
-(shared by driver and executors). A folder of our own is used only where it is unset,
-which is the case in tests on one machine.
+(shared by driver and executors). Where it is unset, a session in one process (as in tests) gets a temporary
+folder; on a cluster that is an error, as other machines could not read it.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,28 +23,40 @@ def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, tempfile.mkdtemp(prefix="quadlake-"))
     return f"{base.rstrip('/')}/quadlake"
 
 
+#: Rows in an Arrow batch while tables are written: whole texts in batches of Spark's 10,000 rows take
+#: much of a worker's memory.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the scratch folder and read again: cuts the lineage,
-    and the copy outlives any executor."""
+    and the copy outlives any executor. Python workers get batches of at most ``BATCH_ROWS`` rows meanwhile."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH)
+    try:
+        if not 0 < int(rows) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._quadlake_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the table behind a ``written`` frame that nothing reads any more."""
-    path = getattr(df, "_quadlake_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables behind ``written`` frames that nothing reads any more."""
+    for df in frames:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quadlake_path)
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
@@ -56,6 +69,29 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Bits of a bitmap of hashed ids: at most MAP_BITS / 64 rows are broadcast.
+MAP_BITS = 1 << 24
+
+
+def _word(c: str) -> Column:
+    return F.shiftright(F.pmod(F.xxhash64(c), F.lit(MAP_BITS)), 6).cast("int")
+
+
+def _bit(c: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{c}`), 64L) as int))")
+
+
+def bitmap(ids: DataFrame, column: str) -> DataFrame:
+    """A bitmap (_word, _bits) of hashed ids, of a size that does not depend on their number."""
+    return ids.groupBy(_word(column).alias("_word")).agg(F.bit_or(_bit(column)).alias("_bits"))
+
+
+def flagged(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` with a column ``_flag``: false only if its long ``column`` is in no row of the bitmap ``ids``. The
+    bitmap is broadcast; what it flags is to be joined, and the other rows need no shuffle."""
+    return df.join(F.broadcast(ids), _word(column) == F.col("_word"), "left").withColumn("_flag", F.coalesce(F.col("_bits").bitwiseAND(_bit(column)) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def texts(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string or binary Arrow column; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else pa.binary()

@@ -34,4 +34,5 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("vertex", F.col("next").alias("component"))
         labels._quadlake_path = new._quadlake_path
         if not changed:
+            forget(both)
             return labels

@@ -4,17 +4,25 @@ Documents are sets of hashed word shingles. Equal sets are one class, found by a
 least document stands for it. Two sets of similarity ``PERCENT`` share one of the first
 n - ceil(s * n) + 1 elements of an order that is the same for all (hashes ascending, with
 elements that are common in a bounded sample last; the sample decides only the order), and
-k of the first n - ceil(s * n) + k. ``shared_bits`` finds which of these elements others have,
+k of the first n - ceil(s * n) + k. ``shared_keys`` finds which of these elements others have,
 too; only documents with k of them go on (k follows from the size, see ``least_shared``).
 
 Tiles are the documents that hold one element, sorted by size. Within a tile, sizes must lie in
 one band (ratio >= s), and the signatures (a bit for the parity of the elements hashed to it) must
-leave enough overlap: at least as many elements are in only one set as bits differ. Pairs that pass are intersected exactly, as sorted arrays.
+leave enough overlap: at least as many elements are in only one set as bits differ. Pairs that
+pass meet their texts, and the sorted arrays of all their shingles are intersected exactly.
 
-Near copies are not expanded into all pairs. In a tile, each document is paired with the least
-one that passes (its star), and with all that pass in other stars. If the pairs of a star all
-link, so do its members among themselves, in one class. The members of stars with a pair that
-does not link go through their tiles once more, where all pairs between groups are tested.
+Near copies are not expanded into all pairs. First each document is paired with a few others that
+stand for the tiles of its first ``FIRST`` keys (least ids and least hashes, by partial aggregates);
+the pairs that link make groups. Tiles whose documents are all of one group can tell nothing
+new; in the others, pairs between different groups are tested, all of them. Tiles of over ``CHUNK``
+documents are worked on in blocks of two chunks, so that no task holds a hot element's tile.
+
+Only texts of documents in pairs that passed are shuffled: a bitmap of fixed size, broadcast,
+lets few others through.
+
+Sets are compared by 64-bit hashes of shingles: two sets of n and m shingles have about
+n * m / 2**64 false common elements.
 
 Defined results: null text is empty; documents without words have an empty set and link with
 nothing; with fewer words than the shingle's the whole sequence is the one shingle; rows of one
@@ -33,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import parallelism, prefix_hash, slices, span_hash, squeezed, text_of, texts, unsqueezed, written
+from quadlake.llm.common import bitmap, flagged, forget, parallelism, prefix_hash, slices, span_hash, text_of, texts, written
 from quadlake.llm.components import components
-from quadlake.llm.shared import by_bucket, marked, shared_bits
+from quadlake.llm.shared import shared_keys
 
 WORDS, PERCENT = 5, 80
 #: Bounds of the sample that orders elements: documents, and the share of them that makes an element common.
@@ -43,7 +51,8 @@ SAMPLE, COMMON = 1000, 0.005
 #: Signature bits: the least power of two above the set's size, within these.
 LEAST_BITS, MOST_BITS = 512, 1 << 16
 MOST_SHARED = 16
-HELD = 16 << 20
+#: Keys by which a document first enters tiles; signature bits in later tiles; documents in a tile's chunk.
+FIRST, TILE_BITS, CHUNK = 8, 2048, 4096
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -91,18 +100,6 @@ def tile_keys(shared: np.ndarray, n: int, percent: int = PERCENT) -> np.ndarray:
     return shared[: max(0, len(shared) - k + 1)]
 
 
-def packed(elements: np.ndarray) -> bytes:
-    """The low 40 bits of hashes, sorted, in 5 bytes each."""
-    low = np.sort(elements & np.uint64((1 << 40) - 1))
-    return low.astype("<u8").view("<u1").reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def signature(elements: np.ndarray, bits: int) -> np.ndarray:
     """Parity of the number of elements hashed to each bit, as 64-bit words."""
     odd = np.bincount((elements >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
@@ -160,244 +157,255 @@ def _sizes(words: int, names: list[str]):
     return run
 
 
-def _keys(words: int, common: np.ndarray, percent: int) -> Callable[[bytes], np.ndarray]:
-    return lambda text: prefix(shingles(text, words), common, percent)
+def _described(words: int, common: np.ndarray, percent: int) -> Callable[[bytes], tuple[np.ndarray, bytes]]:
+    """Of a text the first elements of its set, and the set's size (8 bytes) with its signature."""
 
+    def run(text: bytes) -> tuple[np.ndarray, bytes]:
+        own = shingles(text, words)
+        return prefix(own, common, percent), len(own).to_bytes(8, "little") + signature(own, bits_of(len(own))).tobytes()
 
-_SETS = "doc_id long, n int, elements binary, signature binary, keys binary"
+    return run
 
 
-def _sets(words: int, common: np.ndarray, percent: int):
-    """Sets, signatures and shared first elements of documents with bits."""
+def _entries(percent: int):
+    """doc_id, rid, n, signature, keys (those by which it enters tiles) of documents that have some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for doc, bits, text in zip(part.column("doc_id").to_pylist(), part.column("bits").to_pylist(), texts(part.column("text")), strict=True):
-                    own = shingles(text, words)
-                    first = prefix(own, common, percent)
-                    keys = tile_keys(first[marked(first, bits)], len(own), percent)
-                    if len(keys):
-                        rows.append((doc, len(own), packed(own), signature(own, bits_of(len(own))).tobytes(), keys.tobytes()))
-                if not rows:
-                    continue
+            rows = []
+            for doc, rid, extra, shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "extra", "keys")), strict=True):
+                n = int.from_bytes(extra[:8], "little")
+                keys = tile_keys(np.frombuffer(shared, "<i8"), n, percent)
+                if len(keys):
+                    rows.append((doc, rid, n, extra[8:], keys))
+            if rows:
                 cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["doc_id", "n", "elements", "signature", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["doc_id", "rid", "n", "signature", "keys"])
 
     return run
 
 
-def _deal(buckets: int):
-    """Documents (doc_id, group, n, signature, keys) dealt out by bucket of their keys, packed."""
+def may_link(n: int, m: int, x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether sets of n and m elements with signatures x and y can be similar."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    # |a & b| <= (n + m - differing bits) / 2, and similar sets have 100 |a & b| >= percent |a | b|.
+    bits = 64 * min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, bits) ^ folded(y, bits)).sum()) <= (n + m) * (100 - percent) // (100 + percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def full():
-            nonlocal held, size
-            keys = np.concatenate([h[4] for h in held])
-            doc = np.repeat(np.arange(len(held)), [len(h[4]) for h in held])
-            where, parts = by_bucket(keys, buckets)
-            out = []
-            for b, lo, hi in parts:
-                at = where[lo:hi]
-                own, place = np.unique(doc[at], return_inverse=True)
-                table = np.array([held[i][:3] for i in own], "<i8").view("<u1").reshape(len(own), 24).T
-                data = b"".join([np.ascontiguousarray(table).tobytes(), keys[at].astype("<u8").tobytes(), place.astype("<u4").tobytes(), *(held[i][3] for i in own)])
-                out.append((b, np.array([len(own), len(at)], "<i8").tobytes() + squeezed(data)))
-            held, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["bucket", "data"])
 
+def _passing(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and signatures pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, group, n, words, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "group", "n", "signature", "keys")), strict=True):
-                held.append((doc, group, n, words, np.frombuffer(keys, "<u8")))
-                size += len(words) + len(keys)
-                if size >= HELD:
-                    yield full()
-        if held:
-            yield full()
+            for part in slices(batch):
+                n, m = (part.column(c).to_pylist() for c in ("n", "m"))
+                x, y = ([np.frombuffer(w, "<u8") for w in texts(part.column(c))] for c in ("x", "y"))
+                ok = [may_link(*z, percent) for z in zip(n, m, x, y, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    own = entries.select("doc_id", "n", "signature")
+    half = pairs.join(own, F.col("b") == F.col("doc_id")).select("a", "b", F.col("n").alias("m"), F.col("signature").alias("y"))
+    rows = half.join(own, F.col("a") == F.col("doc_id")).select("a", "b", "n", "m", F.col("signature").alias("x"), "y")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
-    return run
+
+def _light(entries: DataFrame) -> DataFrame:
+    """Documents by their first keys, with a number of the band of their size."""
+    band = (F.log("n") / F.lit(-np.log(PERCENT / 100))).cast("int")
+    return entries.select("doc_id", band.alias("band"), F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+
+
+def _roots(entries: DataFrame) -> DataFrame:
+    """_k, _b, r0 to r3: the documents that stand for a tile's band, and for the whole tile."""
+    roots = _light(entries).groupBy("key", "band").agg(F.count("*").alias("count"), F.min("doc_id").alias("r0"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("r1"))
+    whole = roots.groupBy("key").agg(F.sum("count").alias("count"), F.min("r0").alias("r2"), F.min_by("r1", F.xxhash64("r1")).alias("r3")).where("count > 1")
+    whole = whole.select(F.col("key").alias("_k"), "r2", "r3")
+    return written(roots.join(whole, F.col("key") == F.col("_k")).select("_k", F.col("band").alias("_b"), "r0", "r1", "r2", "r3"), "tiles")
+
+
+def _stars(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents and those that stand for their tiles. The roots are a written table, so
+    both sides of the join are plain exchanges: a hot tile is then split over tasks."""
+    met = _light(entries).join(roots, (F.col("key") == F.col("_k")) & (F.col("band") == F.col("_b")))
+    pairs = met.select("doc_id", F.explode(F.array_distinct(F.array("r0", "r1", "r2", "r3"))).alias("root")).where("doc_id <> root")
+    return pairs.select(F.least("doc_id", "root").alias("a"), F.greatest("doc_id", "root").alias("b")).distinct()
 
 
 class _Tiles:
-    """The documents of one bucket, and its tiles: documents that hold one key, in order of size."""
+    """Blocks of tiles: documents that hold one key, in order of size, from one chunk of the tile or two."""
 
-    def __init__(self, blobs: list[bytes], percent: int):
+    def __init__(self, rows: dict[str, np.ndarray], signatures: list[bytes], percent: int):
+        """Columns key, i, j (the block's chunks), chunk, doc, group, n of each entry, and its signature."""
         self.percent = percent
-        tables, keys, places, words, base = [], [], [], [], 0
-        for blob in blobs:
-            d, e = np.frombuffer(blob, "<i8", 2).tolist()
-            data = unsqueezed(blob[16:])
-            table = np.ascontiguousarray(np.frombuffer(data, "<u1", 24 * d).reshape(24, d).T).view("<i8").reshape(d, 3)
-            at = 24 * d
-            keys.append(np.frombuffer(data, "<u8", e, at))
-            places.append(np.frombuffer(data, "<u4", e, at + 8 * e).astype(np.int64) + base)
-            at += 12 * e
-            for n in table[:, 2].tolist():
-                size = bits_of(n) // 8
-                words.append(np.frombuffer(data[at : at + size], "<u8"))
-                at += size
-            tables.append(table)
-            base += d
-        table, key, place = np.concatenate(tables), np.concatenate(keys), np.concatenate(places)
-        self.doc, self.group, self.n, self.words = table[:, 0], table[:, 1], table[:, 2], words
-        # Signatures of one length, for quick tests; longer ones are folded to it first.
-        self.short = np.stack([folded(w, LEAST_BITS) for w in words])
-        order = np.lexsort((self.doc[place], self.n[place], key))
-        self.place, k = place[order], key[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
+        order = np.lexsort((rows["doc"], rows["n"], rows["j"], rows["i"], rows["key"]))
+        self.key, self.i, self.j, self.chunk, self.doc, self.group, self.n = (rows[c][order] for c in ("key", "i", "j", "chunk", "doc", "group", "n"))
+        own = [np.frombuffer(signatures[k], "<u8") for k in order.tolist()]
+        self.bits = np.array([64 * len(w) for w in own])
+        # Signatures folded to each length, of the entries that have as many bits.
+        self.levels = []
+        level = LEAST_BITS
+        while level <= TILE_BITS:
+            have = np.flatnonzero(self.bits >= level)
+            row = np.full(len(own), -1)
+            row[have] = np.arange(len(have))
+            if len(have):
+                self.levels.append((level, row, np.stack([folded(own[k], level) for k in have.tolist()])))
+            level *= 2
+        new = np.ones(len(order), bool)
+        new[1:] = (self.key[1:] != self.key[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
         self.begin = np.flatnonzero(new)
-        self.size = np.diff(np.append(self.begin, len(k)))
+        self.size = np.diff(np.append(self.begin, len(order)))
 
     def passes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which pairs of documents may be similar, by sizes and signatures."""
-        n, m = self.n[a], self.n[b]
-        ok = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
-        at = np.flatnonzero(ok)
-        # |a & b| <= (n + m - differing bits) / 2, and similar sets have 100 |a & b| >= percent |a | b|.
-        most = lambda i: (n[i] + m[i]) * (100 - self.percent) // (100 + self.percent)
-        differ = np.bitwise_count(self.short[a[at]] ^ self.short[b[at]]).sum(axis=1, dtype=np.int64)
-        at = at[differ <= most(at)]
-        ok[:] = False
-        ok[at] = True
-        for i in at[np.maximum(n[at], m[at]) > LEAST_BITS].tolist():
-            x, y = self.words[a[i]], self.words[b[i]]
-            bits = 64 * min(len(x), len(y))
-            ok[i] = int(np.bitwise_count(folded(x, bits) ^ folded(y, bits)).sum()) <= most(i)
+        """Which pairs of entries may be similar, by signatures of ascending lengths."""
+        ok = np.ones(len(a), bool)
+        most = (self.n[a] + self.n[b]) * (100 - self.percent) // (100 + self.percent)
+        for level, row, words in self.levels:
+            at = np.flatnonzero(ok & (np.minimum(self.bits[a], self.bits[b]) >= level))
+            x, y = row[a[at]], row[b[at]]
+            ok[at] = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64) <= most[at]
         return ok
 
-    def _steps(self, group: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of documents of a tile within one size band and of different groups, a bounded
-        number at a time; ``group`` is given for each entry of the tiles."""
-        differ = np.maximum.reduceat(group, self.begin) != np.minimum.reduceat(group, self.begin)
+    def steps(self, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of entries of a block within one size band and of different groups (and, in a block
+        of two chunks, of different ones), a bounded number at a time."""
+        if not len(self.begin):
+            return
+        differ = np.maximum.reduceat(self.group, self.begin) != np.minimum.reduceat(self.group, self.begin)
         for lo, size in zip(self.begin[differ].tolist(), self.size[differ].tolist(), strict=True):
-            own, g = self.place[lo : lo + size], group[lo : lo + size]
-            n = self.n[own]
-            # How many of the tile follow in the band of each.
+            n, group, chunk = (x[lo : lo + size] for x in (self.n, self.group, self.chunk))
+            two = self.i[lo] != self.j[lo]
+            # How many of the block follow in the band of each.
             count = np.searchsorted(n * self.percent, n * 100, "right") - np.arange(size) - 1
             sums = np.concatenate([[0], np.cumsum(count)])
-            i = 0
-            while i < size:
-                j = max(i + 1, int(np.searchsorted(sums, sums[i] + most, "right")) - 1)
-                c = count[i:j]
-                left = np.repeat(np.arange(i, j), c)
+            at = 0
+            while at < size:
+                to = max(at + 1, int(np.searchsorted(sums, sums[at] + most, "right")) - 1)
+                c = count[at:to]
+                left = np.repeat(np.arange(at, to), c)
                 right = left + 1 + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                apart = g[left] != g[right]
-                yield own[left[apart]], own[right[apart]]
-                i = j
-
-    def stars(self, rounds: int = 64) -> np.ndarray:
-        """Of each entry the document, in its tile, that it is paired with: the first one (by id)
-        that passes among those that are paired with none themselves."""
-        star = self.place.copy()
-        tile = np.repeat(np.arange(len(self.begin)), self.size)
-        entry = np.lexsort((self.doc[self.place], tile))
-        tile = tile[entry]
-        for _ in range(rounds):  # what is open then stays alone; pairs of different stars are tested all the same
-            if not len(entry):
-                break
-            first = np.concatenate([[True], tile[1:] != tile[:-1]])
-            root = np.repeat(self.place[entry[first]], np.diff(np.append(np.flatnonzero(first), len(entry))))
-            rest = ~first
-            root, entry, tile = root[rest], entry[rest], tile[rest]
-            ok = self.passes(root, self.place[entry])
-            star[entry[ok]] = root[ok]
-            entry, tile = entry[~ok], tile[~ok]
-        return star
-
-    def _distinct(self, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        x, y = self.doc[np.concatenate(a)], self.doc[np.concatenate(b)]
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
-
-    def star_pairs(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """Pairs of documents and their stars; and pairs that pass across stars."""
-        star = self.stars()
-        paired = star != self.place
-        none = np.zeros(0, np.int64)
-        return self._distinct([star[paired]], [self.place[paired]]), self._passing(star, none)
-
-    def _passing(self, group: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [none], [none]
-        for x, y in self._steps(group):
+                apart = group[left] != group[right]
+                if two:
+                    apart &= chunk[left] != chunk[right]
+                yield lo + left[apart], lo + right[apart]
+                at = to
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of documents (a < b) that pass, once in a while each (tiles share pairs)."""
+        for x, y in self.steps():
             ok = self.passes(x, y)
-            a.append(x[ok]), b.append(y[ok])
-        return self._distinct(a, b)
+            a, b = self.doc[x[ok]], self.doc[y[ok]]
+            if len(a):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield both[:, 0], both[:, 1]
+
+
+def _grouped(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    grouped = entries.join(groups, F.col("doc_id") == F.col("vertex"), "left")
+    return grouped.select("doc_id", F.coalesce("component", "doc_id").alias("group"), F.explode("keys").alias("key"))
 
-    def all_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of documents of different groups that pass, once."""
-        return self._passing(self.group[self.place], np.zeros(0, np.int64))
 
+def _open_tiles(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """_k, chunks: the tiles with documents of several groups, and how many chunks they are cut to."""
+    several = _grouped(entries, groups).groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("count")).where("low <> high")
+    return written(several.select(F.col("key").alias("_k"), F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "open-tiles")
 
-def _pairs(rows: DataFrame, stars: bool, percent: int) -> DataFrame:
-    """Pairs (a < b) that may link: of stars (star true) and across them, or all between groups."""
+
+def _between_groups(entries: DataFrame, groups: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents of different groups that may be similar, from all open tiles."""
+    buckets = 4 * parallelism(entries.sparkSession)
+    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    left = _grouped(entries, groups).join(tiles, F.col("key") == F.col("_k")).select(F.col("doc_id").alias("doc"), "group", "key", chunk.alias("chunk"), "chunks")
+    blocks = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = blocks.select("doc", "group", "key", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).cast("int"))
+    rows = blocks.join(entries.select("doc_id", "n", "signature"), F.col("doc") == F.col("doc_id")).drop("doc_id")
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures of at most ``TILE_BITS``."""
+        names = ["bucket", "doc", "group", "key", "chunk", "i", "j", "n"]
+        for batch in batches:
+            words = [folded(np.frombuffer(w, "<u8"), TILE_BITS).tobytes() for w in texts(batch.column("signature"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(words, pa.binary())], [*names, "signature"])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        tiles = _Tiles(table.column("data").to_pylist(), percent)
-        if stars:
-            (a, b), (c, d) = tiles.star_pairs()
-            star = np.repeat([True, False], [len(a), len(c)])
-            a, b = np.concatenate([a, c]), np.concatenate([b, d])
-        else:
-            a, b = tiles.all_pairs()
-            star = np.zeros(len(a), bool)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "star": pa.array(star)})
+        numbers = {c: table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j", "chunk", "doc", "group", "n")}
+        found = list(_Tiles(numbers, table.column("signature").to_pylist(), percent).pairs())
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        both = np.unique(np.stack([a, b], 1), axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
-    dealt = rows.select("doc_id", "group", "n", "signature", "keys").mapInArrow(_deal(parallelism(rows.sparkSession)), "bucket int, data binary")
-    found = dealt.groupBy("bucket").applyInArrow(run, "a long, b long, star boolean")
-    return found.groupBy("a", "b").agg(F.max("star").alias("star"))
+    kind = "bucket int, doc long, group long, key long, chunk int, i int, j int, n long, signature binary"
+    found = rows.select("bucket", "doc", "group", "key", "chunk", "i", "j", "n", "signature").mapInArrow(short, kind)
+    return found.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs, with whether their sets are similar."""
+def _chosen(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents whose id is in ``ids`` (vertex, distinct). A bitmap of hashed ids goes before
+    the join, so that few other texts are shuffled; its size is fixed."""
+    near = flagged(source.select("doc_id", "text"), "doc_id", bitmap(ids, "vertex")).where("_flag")
+    return near.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("vertex"), "left_semi").select("doc_id", "text")
+
+
+def _linked(pairs: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
         for batch in batches:
             for part in slices(batch):
-                ok = [similar(unpacked(x), unpacked(y), percent) for x, y in zip(texts(part.column("x")), texts(part.column("y")), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "star")), pa.array(ok, pa.bool_())], ["a", "b", "star", "ok"])
-
-    own = sets.select("doc_id", "elements")
-    half = pairs.join(own, F.col("b") == F.col("doc_id")).select("a", "b", "star", F.col("elements").alias("y"))
-    rows = half.join(own, F.col("a") == F.col("doc_id")).select("a", "b", "star", F.col("elements").alias("x"), "y")
-    return rows.mapInArrow(run, "a long, b long, star boolean, ok boolean")
+                ok = []
+                for a, x, y in zip(part.column("a").to_pylist(), texts(part.column("x")), texts(part.column("y")), strict=True):
+                    if last != (a, x):
+                        last, own = (a, x), shingles(x, words)
+                    ok.append(similar(own, shingles(y, words), percent))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    own = written(_chosen(source, ids), "texts")
+    half = pairs.join(own, F.col("b") == F.col("doc_id")).select("a", "b", F.col("text").alias("y"))
+    rows = half.join(own, F.col("a") == F.col("doc_id")).select("a", "b", F.col("text").alias("x"), "y")
+    out = written(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    forget(own)
+    return out
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, rid (hash of the text), n_shingles, component_id (the least id that links reach) of every row."""
-    source = docs.select("doc_id", text_of().alias("text")).withColumn("rid", F.xxhash64("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("rid", F.xxhash64("text"))
     sizes = written(source.mapInArrow(_sizes(words, ["doc_id", "rid"]), "doc_id long, rid long, n_shingles long, digest binary"), "set-sizes")
     known = sizes.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     # Equal sets: the least id stands for them. Written first, so that both sides of the join are
     # plain exchanges: a set that very many documents have is then split over tasks.
     least = written(known.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc_id").alias("first")), "least-of-equal")
     same = written(known.join(least, F.col("digest") == F.col("_digest")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "rid"), "equal-sets")
-    common = common_elements(docs, words)
-    bits = shared_bits(source.where(F.col("doc_id").isNotNull()), _keys(words, common, percent))
+    forget(least)
+    common = common_elements(source, words)
+    told = shared_keys(source.where(F.col("doc_id").isNotNull()), _described(words, common, percent))
     stand = same.where("a = b").select(F.col("b").alias("_b"), F.col("rid").alias("_s")).distinct()
-    standing = bits.join(stand, (F.col("doc_id") == F.col("_b")) & (F.col("rid") == F.col("_s"))).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "bits")
-    rows = source.join(standing, (F.col("doc_id") == F.col("_d")) & (F.col("rid") == F.col("_r"))).select("doc_id", "bits", "text")
-    sets = written(rows.mapInArrow(_sets(words, common, percent), _SETS), "sets")
-    first = written(_tested(_pairs(sets.withColumn("group", F.col("doc_id")), True, percent), sets, percent), "first-pairs")
-    links = first.where("ok").select("a", "b")
-    # Stars with a pair that does not link: their other pairs are not decided yet.
-    open_ = first.where("star and not ok").select("a").distinct().withColumnRenamed("a", "root")
-    if not open_.isEmpty():
-        members = first.where("star").join(open_, F.col("a") == F.col("root"))
-        members = members.select(F.col("a").alias("member")).unionByName(members.select(F.col("b").alias("member"))).distinct()
-        some = sets.join(members, F.col("doc_id") == F.col("member")).select("doc_id", "n", "elements", "signature", "keys")
-        groups = components(links)
-        some = written(some.join(groups, F.col("doc_id") == F.col("vertex"), "left").withColumn("group", F.coalesce("component", "doc_id")).drop("vertex", "component"), "open-sets")
-        more = written(_tested(_pairs(some, False, percent), some, percent), "more-pairs")
-        links = links.unionByName(more.where("ok").select("a", "b"))
-    found = components(links.unionByName(same.where("a <> b").select("a", "b")))
+    kept = told.mapInArrow(_entries(percent), "doc_id long, rid long, n long, signature binary, keys array<bigint>")
+    kept = kept.join(stand, (F.col("doc_id") == F.col("_b")) & (F.col("rid") == F.col("_s")), "left_semi").dropDuplicates(["doc_id", "rid"])
+    entries = written(kept.drop("rid"), "entries")
+    roots = _roots(entries)
+    pairs = written(_passing(_stars(entries, roots), entries, percent), "star-pairs")
+    links = _linked(pairs, source, words, percent)
+    groups = components(links)
+    tiles = _open_tiles(entries, groups)
+    more = written(_passing(_between_groups(entries, groups, tiles, percent), entries, percent), "pairs")
+    later = _linked(more, source, words, percent)
+    found = components(links.unionByName(later).unionByName(same.where("a <> b").select("a", "b")))
+    forget(same, entries, roots, pairs, links, groups, tiles, more, later)
     return sizes.join(found, F.col("doc_id") == F.col("vertex"), "left").select("doc_id", "rid", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is its class's least; rows with a null id stay."""
-    kept = classes(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    return known.join(kept, known["doc_id"] == kept["_d"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    gone = classes(docs.select("doc_id", "text"), words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    # Few go: a bitmap of them lets most rows pass by the join. Columns are known by their places meanwhile.
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    gone = written(gone, "near-duplicates")
+    rows = flagged(docs.toDF(*own).withColumn("_id", F.col(own[docs.columns.index("doc_id")]).cast("long")), "_id", bitmap(gone, "_gone"))
+    kept = rows.where("_flag").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return rows.where("not _flag").unionByName(kept).select(*own).toDF(*docs.columns)

@@ -5,7 +5,8 @@ keys of many documents to a run; each distinct key of a run is sent once, in pac
 bucket of the key, so a key that a third of all documents hold costs no bucket more than
 one entry for each run. A bucket answers every run with the entries whose key other runs
 hold as well; what a run's documents share among themselves, the run itself knows. The
-answers meet the run's table of documents, which gives a bit for each key of each document.
+answers meet the run's table of documents, which gives a bit for each key of each document
+(``shared_bits``), or the keys themselves (``shared_keys``).
 
 Nothing is dropped: a bit is set for every key that stands in two documents (rarely for one
 that does not, when 48 bits of two keys agree). Runs hold at most ``RUN`` keys, or one document.
@@ -43,10 +44,18 @@ def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[in
 
 
 class _Run:
+    """Documents (doc_id, rid), their keys, and what else is to be told of each (bytes)."""
+
     def __init__(self, number: int):
-        self.number, self.docs, self.keys, self.n = number, [], [], 0
+        self.number, self.docs, self.keys, self.extra, self.n = number, [], [], [], 0
+
+    def add(self, doc: int, rid: int, keys: np.ndarray, extra: bytes) -> None:
+        self.docs.append((doc, rid)), self.keys.append(keys), self.extra.append(extra)
+        self.n += len(keys)
 
-    def rows(self, buckets: int) -> list[tuple]:
+    def rows(self, buckets: int, told: bool) -> list[tuple]:
+        """The run's table, to the bucket -1, and its entries by bucket. ``told``: the table has the
+        known keys and the documents' extra bytes, too."""
         counts = np.array([len(k) for k in self.keys], np.int64)
         table = np.array(self.docs, np.int64).reshape(-1, 2)
         keys = np.concatenate(self.keys)
@@ -60,7 +69,10 @@ class _Run:
         known = np.zeros(len(keys), bool)
         known[order] = np.repeat(several, size)
         entry, key = order[start], k[start]
-        out = [(-1, np.concatenate([[len(counts)], table.ravel(), counts]).astype("<i8").tobytes() + np.packbits(known).tobytes())]
+        head = [np.concatenate([[len(counts)], table.ravel(), counts]).astype("<i8").tobytes(), np.packbits(known).tobytes()]
+        if told:
+            head += [keys[known].astype("<u8").tobytes(), np.array(list(map(len, self.extra)), "<i4").tobytes(), *self.extra]
+        out = [(-1, b"".join(head))]
         where, parts = by_bucket(key, buckets)
         for b, lo, hi in parts:
             at = where[lo:hi]
@@ -73,7 +85,7 @@ class _Run:
         return out
 
 
-def _gather(keys_of: Callable[[bytes], np.ndarray], buckets: int):
+def _gather(keys_of: Callable[[bytes], np.ndarray | tuple[np.ndarray, bytes]], buckets: int, told: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         now = _Run(number)
@@ -83,16 +95,14 @@ def _gather(keys_of: Callable[[bytes], np.ndarray], buckets: int):
             own, number = now, number + 1
             now = _Run(number)
             # The run's own table goes to a bucket by its number.
-            return batch_of([(own.number % buckets if b < 0 else b, own.number if b < 0 else ~own.number, data) for b, data in own.rows(buckets)])
+            return batch_of([(own.number % buckets if b < 0 else b, own.number if b < 0 else ~own.number, data) for b, data in own.rows(buckets, told)])
 
         for batch in batches:
             for part in slices(batch):
                 for doc, rid, text in zip(part.column("doc_id").to_pylist(), part.column("rid").to_pylist(), texts(part.column("text")), strict=True):
-                    keys = keys_of(text)
+                    keys, extra = keys_of(text) if told else (keys_of(text), b"")
                     if len(keys):
-                        now.docs.append((doc, rid))
-                        now.keys.append(keys)
-                        now.n += len(keys)
+                        now.add(doc, rid, keys, extra)
                     if now.n >= RUN:
                         yield full()
         if now.docs:
@@ -101,8 +111,9 @@ def _gather(keys_of: Callable[[bytes], np.ndarray], buckets: int):
     return run
 
 
-def _match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One bucket: the entries of each run whose keys other runs hold; the runs' tables pass."""
+def _match(key: tuple[pa.Scalar, ...], table: pa.Table, told: bool = False) -> pa.Table:
+    """One bucket: the entries of each run whose keys other runs hold (``told``: and those keys'
+    first 48 bits); the runs' tables pass."""
     out, keys, entries, several, runs = [], [], [], [], []
     for run, data in zip(table.column("run").to_pylist(), table.column("data").to_pylist(), strict=True):
         if run >= 0:
@@ -119,14 +130,15 @@ def _match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     if keys:
         k, e, s, r = map(np.concatenate, (keys, entries, several, runs))
         order = np.argsort(k, kind="stable")
-        k = k[order]
+        kept, k = k, k[order]
         same = k[1:] == k[:-1]
         shared = (np.append(same, False) | np.append(False, same)) & ~s[order]  # what a run knows is not told again
         own = order[shared]
         own = own[np.lexsort((e[own], r[own]))]
         cuts = np.flatnonzero(np.diff(r[own])) + 1
         for part in np.split(own, cuts) if len(own) else []:
-            out.append((1, int(r[part[0]]), e[part].astype("<u4").tobytes()))
+            own_keys = kept[part].astype("<u8").tobytes() if told else b""
+            out.append((1, int(r[part[0]]), e[part].astype("<u4").tobytes() + own_keys))
     return pa.Table.from_batches([batch_of(out)])
 
 
@@ -158,11 +170,52 @@ def shared_bits(docs: DataFrame, keys_of: Callable[[bytes], np.ndarray]) -> Data
     (doc_id, rid, text) the keys, in the order of ``keys_of(text)``, that others have."""
     buckets = 4 * parallelism(docs.sparkSession)
     packed = docs.select("doc_id", "rid", "text").mapInArrow(_gather(keys_of, buckets), _PACKED)
-    told = packed.groupBy("bucket").applyInArrow(_match, _PACKED)
-    found = told.groupBy("run").applyInArrow(_answers, "doc_id long, rid long, bits binary")
+    answers = packed.groupBy("bucket").applyInArrow(lambda key, table: _match(key, table), _PACKED)
+    found = answers.groupBy("run").applyInArrow(_answers, "doc_id long, rid long, bits binary")
     return found.groupBy("doc_id", "rid").agg(F.collect_list("bits").alias("bits"))
 
 
+_TOLD = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("extra", pa.binary()), ("keys", pa.binary())])
+
+
+def _told(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One run: of each of its documents the shared keys' first 48 bits, in their order."""
+    known, entries, at = None, [], 0
+    for kind, data in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True):
+        if kind:
+            n = len(data) // 12
+            entries.append((np.frombuffer(data, "<u4", n), np.frombuffer(data, "<u8", n, 4 * n)))
+        else:
+            n = int(np.frombuffer(data, "<i8", 1)[0])
+            docs = np.frombuffer(data, "<i8", 2 * n, 8).reshape(n, 2)
+            counts = np.frombuffer(data, "<i8", n, 8 + 16 * n)
+            at = 8 + 24 * n
+            known = np.unpackbits(np.frombuffer(data, np.uint8, -(-int(counts.sum()) // 8), at), count=int(counts.sum())).astype(bool)
+            at += -(-len(known) // 8)
+            keys = np.zeros(len(known), np.uint64)
+            keys[known] = np.frombuffer(data, "<u8", int(known.sum()), at) >> np.uint64(16)
+            at += 8 * int(known.sum())
+            sizes = np.frombuffer(data, "<i4", n, at)
+            cuts = at + 4 * n + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            extra = data
+    for place, own in entries:
+        known[place], keys[place] = True, own
+    ends = np.cumsum(counts)
+    some = np.flatnonzero(np.add.reduceat(known, ends - counts, dtype=np.int64)).tolist()
+    shared = [keys[a:b][known[a:b]].tobytes() for a, b in ((ends[i] - counts[i], ends[i]) for i in some)]
+    return pa.Table.from_arrays([pa.array(docs[some, 0]), pa.array(docs[some, 1]), pa.array([extra[cuts[i] : cuts[i + 1]] for i in some], pa.binary()), pa.array(shared, pa.binary())], schema=_TOLD)
+
+
+def shared_keys(docs: DataFrame, keys_of: Callable[[bytes], tuple[np.ndarray, bytes]]) -> DataFrame:
+    """doc_id, rid, extra, keys: of every document (doc_id, rid, text) that has some, the first 48
+    bits (as 64-bit numbers) of the keys that others have, in the order of ``keys_of(text)[0]``, whose
+    keys are distinct; and ``extra``, its second value. One row for each equal row."""
+    buckets = 4 * parallelism(docs.sparkSession)
+    packed = docs.select("doc_id", "rid", "text").mapInArrow(_gather(keys_of, buckets, True), _PACKED)
+    answers = packed.groupBy("bucket").applyInArrow(lambda key, table: _match(key, table, True), _PACKED)
+    return answers.groupBy("run").applyInArrow(_told, "doc_id long, rid long, extra binary, keys binary")
+
+
 def marked(keys: np.ndarray, bits: list[bytes]) -> np.ndarray:
     """Which keys of a document are shared, by all its bits. A key that stands twice in one
     document is marked at each place."""
