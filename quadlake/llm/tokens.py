@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import scratch, slices, text_of, texts, written
+from quadlake.llm.common import forget, scratch, slices, text_of, texts, written
 
 #: Characters for which NFC, lower-casing by character and white space agree everywhere.
 _OTHER_CHARACTERS = "[^\t\n\r\x20-\x7e\xa1-įı-˿]"
@@ -230,4 +230,5 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str | None = None,
     misses = source.join(chosen, (source["row"] == chosen["row"]) & (source["digest"] == chosen["d"]), "left_semi")
     fresh = written(misses.select("digest", "text").mapInArrow(_count(path), "digest binary, n_tokens long").dropDuplicates(["digest"]), "token-counts")
     fresh.write.mode("append").parquet(f"{cache_path}/tokenizer={tokenizer}")
-    return keyed.join(stored.unionByName(fresh), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    forget(fresh)
+    return keyed.join(stored_counts(spark, cache_path, tokenizer), "digest", "left").select("doc_id", "n_bytes", "n_tokens")

@@ -42,7 +42,6 @@ def removed(rows):
 
 
 def test_suffix(docs):
-    docs = docs.where("doc_id is null or doc_id < 11")
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     own = [tuple(r) for r in suffix.digests(suffix.dedup(docs)).collect()]
     assert sorted(r for r in own if r[0] is not None) == removed([r for r in rows if r[0] is not None])
@@ -458,3 +457,100 @@ def test_pipeline(spark):
     assert rows and {"doc_id", "start", "length"} <= set(rows[0].asDict())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "suffix_dedup", "packing"]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+ODD = "doc_id long, text string, lang string, n_chars long, score int, bits string, _d int, _flag int, spans int, kept string, component_id int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """A small corpus with toxic rows, copies, near copies, repeats, nulls, repeated rows, and columns whose names the operators use."""
+    bad, good = "you vile stupid worthless idiot number %d, get lost", "a quiet walk along the lake with friend number %d"
+    words = [f"w{i}" for i in range(80)]
+    texts_ = [(i, (bad if i % 4 == 0 else good) % i) for i in range(120)]
+    texts_ += [(200, " ".join(words)), (201, " ".join(words[:40] + ["x"] + words[41:])), (202, " ".join(words).upper()), (203, LONG + "ä" * 40), (204, "ö " + LONG + "ü" * 30), (205, None), (206, ""), (207, LONG), (207, LONG), (None, LONG), (None, bad % 3), (208, "é" * 60 + "\ufffd"), (209, "z" + "é" * 60)]
+    docs = spark.createDataFrame([(i, t, "en", None if t is None else len(t), 7, "b", 1, 2, 3, "k", 4) for i, t in texts_], ODD)
+    folder = str(tmp_path_factory.mktemp("odd"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_against_brute_force(spark, odd):
+    import corpus_pipeline
+
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    columns, rows = docs.columns, sorted(map(tuple, docs.collect()), key=key)
+
+    # Toxic texts go, with a null id too; everything else of the rows stays as it is.
+    out = corpus_pipeline.drop_toxic(spark, docs, odd)
+    kept = [r for r in rows if "idiot" not in (r[1] or "")]
+    assert out.columns == columns and sorted(map(tuple, out.collect()), key=key) == kept
+
+    # One document of each group stays.
+    docs = spark.createDataFrame(kept, docs.schema)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, odd)
+    least = {i: c for i, (_, c) in components([r[:2] for r in kept if r[0] is not None]).items()}
+    kept = [r for r in kept if r[0] is None or least[r[0]] == r[0]]
+    assert len(least) > len([r for r in kept if r[0] is not None]) and out.columns == columns and sorted(map(tuple, out.collect()), key=key) == kept
+
+    # Bytes that repeat a smaller document's go, and with them the rest of their characters.
+    docs = spark.createDataFrame(kept, docs.schema)
+    out = corpus_pipeline.cut_repeats(spark, docs, odd)
+    first = {}
+    for i, t in ((r[0], (r[1] or "").encode()) for r in kept if r[0] is not None):
+        for j in range(len(t) - 49):
+            first.setdefault(t[j : j + 50], i)
+    expected = []
+    for r in kept:
+        t, mark, at, own = (r[1] or "").encode(), bytearray(len((r[1] or "").encode())), 0, ""
+        for j in range(len(t) - 49) if r[0] is not None else ():
+            if first[t[j : j + 50]] < r[0]:
+                mark[j : j + 50] = b"\1" * 50
+        for c in r[1] or "":
+            size = len(c.encode())
+            own += "" if any(mark[at : at + size]) else c
+            at += size
+        expected.append((r[0], own, r[2], len(own), *r[4:]))
+    assert any(len(e[1]) < len(r[1] or "") for e, r in zip(expected, kept, strict=True))
+    assert out.columns == columns and sorted(map(tuple, out.collect()), key=key) == sorted(expected, key=key)
+
+    # All that is left is packed, each document's tokens once, and run() does the same.
+    library = tokens.WordCache(tokens.vocabulary()).library
+    want = sorted((str(r[0]), len(library.encode(r[1], add_special_tokens=False).ids) + 1) for r in expected)
+    for pieces_ in (corpus_pipeline.pack(spark, spark.createDataFrame(expected, docs.schema), odd).collect(), corpus_pipeline.run(spark, odd).collect()):
+        assert sum(p.length for p in pieces_) == sum(n for _, n in want)
+        assert {(str(p.doc_id), p.doc_tokens) for p in pieces_} == set(want)
+
+
+def test_pipeline_of_an_empty_table(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{odd}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{odd}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_operators_ignore_or_keep_clashing_columns(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    n = docs.count()
+    assert suffix.dedup(docs).columns == [*(c for c in docs.columns if c != "kept"), "n_bytes", "n_removed", "n_spans", "kept"] and suffix.dedup(docs).count() == n
+    assert jaccard.one_of_each(docs).columns == docs.columns and jaccard.classes(docs).count() == n
+    assert licenses.license_labels(docs).count() == tokens.count_tokens(spark, docs).count() == media.digests(media.audio_columns(docs)).count() == n
+    assert toxicity.toxicity(spark, docs, spark.read.parquet(f"{odd}/labels.parquet").withColumn("text", F.lit("x"))).count() == n
+    assert len({r.doc_id for r in packing.pack(spark, docs).collect()}) == len({r.doc_id for r in docs.select("doc_id").collect()})
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df, other = queries.queries()[name](spark, SF), db.sql(queries.oracle_sql()[name])
+    order = sorted(df.columns)
+    assert order == sorted(other.columns)
+    rows = lambda names, values: sorted(tuple(str(r[names.index(c)]) for c in order) for r in values)
+    assert rows(df.columns, df.collect()) == rows(other.columns, other.fetchall())
