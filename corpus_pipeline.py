@@ -3,6 +3,12 @@ near-duplicate group stays, bytes that repeat a smaller document's go, the rest
 
 Each stage works on all rows that its predecessor kept, written as Parquet and read again. All but
 the last return the columns of ``documents``.
+
+Defined results: a null text counts as empty (and is empty after ``cut_repeats``); rows with a null id go if they are toxic, else
+stay: they are in no group of near duplicates, lose no bytes and are packed under a null id. Repeated rows are
+judged each; they have one id, so all of them stay or go, and they take no bytes from each other. Of ties (equal
+texts) the least id stays. Empty tables give empty tables. Extra columns are kept to the last stage, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,9 +25,9 @@ from quadlake.llm.common import written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it is fitted on the labels of these documents."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs, model)
-    kept = scored.where(F.col("score") < 0.5).drop("score")
-    return kept.withColumnRenamed("_own_score", "score") if "score" in docs.columns else kept
+    # Columns are known by their places meanwhile, so that their names cannot clash with the score.
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    return toxicity.score(docs.toDF(*names), model).where("score < 0.5").drop("score").toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat a smaller document's. A character that loses some of
     its bytes goes wholly; a document that loses all its text stays, with an empty one."""
-    kept = suffix.dedup(docs.select(*docs.columns)).withColumn("text", F.col("kept"))
-    text = F.when(F.col("n_removed") == 0, F.decode("text", "UTF-8")).otherwise(_valid("text"))
-    kept = kept.withColumn("text", text)
+    names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_valid("kept"))
+    kept = suffix.dedup(docs.toDF(*names)).withColumn("text", text)
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+        kept = kept.withColumn(names[docs.columns.index("n_chars")], F.length("text").cast("long"))
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def _valid(column: str):
