@@ -8,18 +8,21 @@ document with a smaller id.
    cannot stand in a shared window; ``shared_bits`` finds the others.
 2. The context of a chosen gram is the bytes of the consecutive windows that chose it. Equal
    contexts of a run of documents are met at once: all but those of the least id are
-   covered wholly. The others are sent to the bucket of their gram.
-3. A bucket keeps one context of the least id of each text, lays those of grams with several
-   texts in a row in order of ids, and builds the run-length index: suffix array, Burrows-
-   Wheeler transform as runs, samples at the run ends. Every context is streamed backwards through it, by
-   steps from a row to the row of the preceding character, counted on runs; at each place the
-   interval of rows that share ``LENGTH`` bytes tells the least position of its text. A place
-   whose least position lies in a smaller document is where a long match starts.
-4. Spans meet their documents by a join, and are cut out.
+   covered wholly. The others are sent to the bucket of their gram, where the same is done.
+3. Contexts of one gram that differ may share windows. Their ids are halved again and again; the
+   contexts of the lower halves are indexed, those of the upper halves streamed through the index, so that any two
+   ids meet once. The index is a run-length index: the Burrows-Wheeler transform as runs, with suffix
+   positions sampled at both ends of each. Streaming a context backwards gives its matching
+   statistics: a step within a run lengthens the match; else the nearest runs of the character are tried,
+   whose end samples tell where the match goes on and how much of it remains. A
+   match of at least ``LENGTH`` bytes is marked.
+4. Spans meet their documents by a join, and are cut out. Documents without spans pass by it.
+
+Contexts are equal if their 64-bit hashes are, and documents are told apart by id and the 64-bit hash of the text.
 
 Defined results: null text is empty; matches never cross documents; rows with one id never
 remove each other's bytes; repeated rows are answered each; rows with a null id neither remove nor
-lose bytes. Extra columns are kept by ``dedup`` (own columns of the names it adds are replaced).
+lose bytes. Extra columns of any name are kept by ``dedup`` (own columns of the names it adds are replaced).
 Input must be a table that reads alike each time, as written tables do.
 """
 
@@ -34,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import parallelism, prefix_hash, slices, span_hash, text_of, texts
+from quadlake.llm.common import bitmap, flagged, forget, parallelism, prefix_hash, slices, span_hash, texts, written
 from quadlake.llm.shared import by_bucket, marked, shared_bits
 
 LENGTH, GRAM = 50, 20
@@ -42,13 +45,13 @@ LENGTH, GRAM = 50, 20
 HELD = 16 << 20
 
 
-def chosen(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the chosen grams in order of their places; the first and last window start that
+def chosen(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the chosen grams in order of their places; those places; the first and last window start that
     chose each; and prefix sums for hashes of spans. Empty for texts of less than LENGTH bytes."""
     n, width = len(text) - LENGTH + 1, LENGTH - GRAM + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return np.zeros(0, np.uint64), none, none, np.zeros(1, np.uint64)
+        return np.zeros(0, np.uint64), none, none, none, np.zeros(1, np.uint64)
     data = np.frombuffer(text, np.uint8)
     sums = prefix_hash(data)
     at = np.arange(len(text) - GRAM + 1)
@@ -65,103 +68,202 @@ def chosen(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         have += step
     where = np.arange(n) + place[:n]
     new = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-    return h[where[new]], new, np.append(new[1:], n) - 1, sums
+    return h[where[new]], where[new], new, np.append(new[1:], n) - 1, sums
 
 
 def gram_keys(text: bytes) -> np.ndarray:
     return chosen(text)[0]
 
 
+#: Symbols that are packed to one number for the first ranks; ranks of 7, 14, 28, ... symbols follow.
+WORD = 7
+
+
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of texts laid in a row, each with an end mark of its own."""
-
-    def __init__(self, contexts: list[bytes], length: int = LENGTH):
-        n, self.length = len(contexts), length
-        sizes = np.array([len(c) for c in contexts], np.int64)
-        self.ends = np.cumsum(sizes + 1) - 1  # places of the end marks
-        self.starts = self.ends - sizes
-        text = np.full(int(self.ends[-1]) + 1, -1, np.int64)
-        inside = np.ones(len(text), bool)
-        inside[self.ends] = False
-        text[inside] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + n
-        text[self.ends] = np.arange(n)
-        # Ranks by the first h characters, doubled until no two are equal; end marks differ.
-        rank, h, kept = text, 1, {}
-        while True:
-            order = np.argsort(rank, kind="stable")
-            sorted_ = rank[order]
-            new = np.concatenate([[0], (sorted_[1:] != sorted_[:-1]).astype(np.int64)])
-            dense = np.empty(len(text), np.int64)
-            dense[order] = np.cumsum(new)
-            kept[h] = dense
-            if h >= length and new.sum() == len(text) - 1:
-                break
-            after = np.zeros(len(text), np.int64)
-            after[: max(0, len(text) - h)] = dense[h:] + 1
-            rank, h = dense * (len(text) + 1) + after, 2 * h
-        h = max(x for x in kept if x <= length)
-        part = kept[h]
-        rest = np.zeros(len(text), np.int64)
-        rest[: max(0, len(text) - length + h)] = part[length - h :]
-        # Rows whose suffixes begin with the same ``length`` characters form an interval.
-        a, b = order[1:], order[:-1]
-        cut = np.concatenate([[True], (part[a] != part[b]) | (rest[a] != rest[b])])
-        first = np.flatnonzero(cut)
-        least = np.minimum.reduceat(order, first)
-        keep = np.concatenate([[True], least[1:] != least[:-1]])
-        self.interval_rows, self.interval_least = first[keep], least[keep]
-        # The transform as runs, with the rows' text places sampled at the run ends.
-        bwt = text[order - 1]  # the first place is preceded by the last end mark
-        head = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.run_rows, self.run_chars = head, bwt[head]
-        self.samples = order[np.append(head[1:], len(order)) - 1]
-        size = np.diff(np.append(head, len(order)))
-        by = np.lexsort((head, self.run_chars))
-        before = np.cumsum(size[by]) - size[by]
-        self.run_target = np.empty(len(head), np.int64)  # the row that a run's first row steps to
-        self.run_target[by] = before
-
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """The rows of the suffixes that begin one character earlier."""
-        run = np.searchsorted(self.run_rows, rows, "right") - 1
-        return self.run_target[run] + rows - self.run_rows[run]
-
-    def least(self, rows: np.ndarray) -> np.ndarray:
-        """The least text place that shares ``length`` characters with a row's suffix."""
-        return self.interval_least[np.searchsorted(self.interval_rows, rows, "right") - 1]
-
-    def matches(self, ids: np.ndarray) -> np.ndarray:
-        """Whether a long match into a text with a smaller id starts at each place; ``ids`` (of
-        each text) must ascend."""
-        owner = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=-1))
-        found = np.zeros(int(self.ends[-1]) + 1, bool)
-        which = np.arange(len(self.ends))
-        rows, at = which.copy(), self.ends.copy()  # an end mark's row is its text's number
-        while len(which):
-            rows, at = self.step(rows), at - 1
-            on = at >= self.starts[which]
-            rows, at, which = rows[on], at[on], which[on]
-            far = self.ends[which] - at >= self.length
-            found[at[far]] = ids[owner[self.least(rows[far])]] < ids[which[far]]
-        return found
+    """Run-compressed Burrows-Wheeler transform of contexts, with suffix positions sampled at both ends
+    of its runs, and matching statistics of patterns.
+
+    Each context belongs to a group (ascending in the row of contexts), and matches stay within a group:
+    its symbols are its own. Suffixes that are equal up to their ends stand in order of their places.
+    """
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
+        """Contexts laid in a row (bytes), their sizes and groups."""
+        ends = np.cumsum(sizes + 1) - 1
+        n = int(ends[-1]) + 1
+        symbol = np.zeros(n, np.int64)  # bytes + 1; 0 ends a context
+        inside = np.ones(n, bool)
+        inside[ends] = False
+        symbol[inside] = data.astype(np.int64) + 1
+        group = np.repeat(np.asarray(groups, np.int64), sizes + 1)
+        self.left = np.repeat(ends, sizes + 1) - np.arange(n)  # symbols before the end
+        word = np.zeros(n, np.int64)
+        for k in range(WORD):
+            part = np.zeros(n, np.int64)
+            part[: max(0, n - k)] = symbol[k:]
+            word |= np.where(self.left > k, part, 0) << (9 * (WORD - 1 - k))
+        self.word = word
+        rank = self._dense(word)
+        rank = self._dense(group * (int(rank.max()) + 1) + rank)
+        self.ranks, h, most = [(WORD, rank)], WORD, int(sizes.max())
+        while h < most:  # ranks by twice as many symbols
+            after = np.zeros(n, np.int64)
+            more = np.flatnonzero(self.left > h)
+            after[more] = rank[more + h] + 1
+            rank, h = self._dense(rank * (n + 1) + after), 2 * h
+            self.ranks.append((h, rank))
+        order = np.argsort(rank * n + np.arange(n))
+        code = group * 257 + symbol
+        before = np.where(np.concatenate([[0], symbol[:-1]]) > 0, np.concatenate([[0], code[:-1]]), -1)[order]
+        head = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        last = np.append(head[1:], n) - 1
+        first = code[order]
+        self.rows = n
+        self.group_row = np.searchsorted(first, np.arange(int(group[-1]) + 2) * 257)
+        # Runs by their character, then by their rows.
+        by = np.argsort(before[head] * n + head)
+        by = by[np.searchsorted(before[head][by], 0) :]
+        self.code, self.head, self.size = before[head][by], head[by], (last - head + 1)[by]
+        self.key = self.code * n + self.head
+        new = np.concatenate([[True], self.code[1:] != self.code[:-1]])[: len(by)]
+        total = np.cumsum(self.size) - self.size
+        self.target = np.searchsorted(first, self.code) + total - np.repeat(total[new], np.diff(np.append(np.flatnonzero(new), len(by))))
+        self.sample_first, self.sample_last = order[self.head], order[self.head + self.size - 1]
+        self.group_sample = order[np.minimum(self.group_row, n - 1)]
+
+    @staticmethod
+    def _dense(x: np.ndarray) -> np.ndarray:
+        order = np.argsort(x)
+        y = x[order]
+        out = np.empty(len(x), np.int64)
+        out[order] = np.cumsum(np.concatenate([[0], (y[1:] != y[:-1]).astype(np.int64)]))
+        return out
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols the suffixes at places a and b have in common, at most ``most``."""
+        most = np.minimum(most, np.minimum(self.left[a], self.left[b]))
+        a, b, n = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        for h, rank in reversed(self.ranks):
+            same = (rank[a] == rank[b]) & (n < most)
+            n += h * same
+            np.minimum(a + h * same, self.rows - 1, out=a), np.minimum(b + h * same, self.rows - 1, out=b)
+        differ = self.word[a] ^ self.word[b]
+        lead = WORD - -(-_bit_length(differ) // 9)
+        return np.minimum(n + lead, most)
+
+    def statistics(self, data: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """Matching statistics: of each place of the patterns laid in a row, the length of the longest string
+        that begins there and stands in a context of the pattern's group."""
+        data = data.astype(np.int64) + 1
+        ends = np.cumsum(sizes)
+        out = np.zeros(len(data), np.int64)
+        which = np.argsort(-sizes, kind="stable")
+        g = np.asarray(groups, np.int64)[which]
+        at, rest = ends[which] - 1, sizes[which]
+        row, place, length = self.group_row[g], self.group_sample[g], np.zeros(len(which), np.int64)
+        for step in range(int(sizes.max())):
+            live = int(np.searchsorted(-rest, -step, "left"))  # patterns with more than ``step`` characters
+            g, at, row, place, length = (x[:live] for x in (g, at, row, place, length))
+            code = g * 257 + data[at]
+            k = np.searchsorted(self.key, code * self.rows + row, "right")
+            prev, next_ = np.maximum(k - 1, 0), np.minimum(k, len(self.key) - 1)
+            has_prev, has_next = (k > 0) & (self.code[prev] == code), (k < len(self.key)) & (self.code[next_] == code)
+            stay = has_prev & (row < self.head[prev] + self.size[prev])
+            # Jumps to the nearest runs of the character: their ends' samples tell what remains of the match.
+            jump = np.flatnonzero(~stay & (has_prev | has_next) & (length > 0))
+            up, down = np.zeros(live, np.int64), np.zeros(live, np.int64)
+            up[jump] = np.where(has_prev[jump], self.common(place[jump], self.sample_last[prev[jump]], length[jump]), -1)
+            down[jump] = np.where(has_next[jump], self.common(place[jump], self.sample_first[next_[jump]], length[jump]), -1)
+            back = ~stay & has_prev & (~has_next | (up >= down))
+            forth = ~stay & ~back & has_next
+            new_row, new_place, new_length = self.group_row[g], self.group_sample[g], np.zeros(live, np.int64)
+            new_row = np.where(stay, self.target[prev] + row - self.head[prev], np.where(back, self.target[prev] + self.size[prev] - 1, np.where(forth, self.target[next_], new_row)))
+            new_place = np.where(stay, place - 1, np.where(back, self.sample_last[prev] - 1, np.where(forth, self.sample_first[next_] - 1, new_place)))
+            new_length = np.where(stay, length + 1, np.where(back, up + 1, np.where(forth, down + 1, 0)))
+            out[at] = new_length
+            at, row, place, length = at - 1, new_row, new_place, new_length
+        return out
+
+
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    """Bits of numbers below 2**63."""
+    high = x >> 32
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((x & 0xFFFFFFFF).astype(np.float64))[1]).astype(np.int64)
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of spans laid in a row."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def covered(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, groups: np.ndarray, ids: np.ndarray, length: int = LENGTH, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``data`` of contexts (begin, sizes): whether a string of ``length`` bytes
+    begins there that also stands in a context of its group with a smaller id; for the contexts laid in a row.
+
+    A group's ids are halved again and again: the contexts of a lower half are indexed, those of the
+    upper half are streamed through the index. Any two ids are apart at one level. About ``most`` bytes
+    are indexed and streamed at a time.
+    """
+    row = np.cumsum(sizes) - sizes
+    found = np.zeros(int(sizes.sum()), bool)
+    order = np.lexsort((ids, groups))
+    g, d = groups[order], ids[order]
+    new = np.concatenate([[True], g[1:] != g[:-1]])
+    step = np.cumsum(new | np.concatenate([[True], d[1:] != d[:-1]]))
+    rank = step - np.maximum.accumulate(np.where(new, step, 0))  # of ids in their group; equal ids, equal ranks
+    number = np.cumsum(new) - 1
+    for level in range(int(rank.max(initial=0)).bit_length()):
+        half, upper = rank >> (level + 1), (rank >> level) & 1
+        block = np.cumsum(np.concatenate([[0], ((number[1:] != number[:-1]) | (half[1:] != half[:-1])).astype(np.int64)]))
+        top = np.zeros(int(block[-1]) + 1, bool)
+        top[block[upper == 1]] = True
+        low, high = np.flatnonzero(top[block] & (upper == 0)), np.flatnonzero(upper == 1)
+        # Lower halves are indexed in parts; the contexts of their blocks' upper halves are streamed through each.
+        cuts = np.concatenate([[0], np.cumsum(sizes[order[low]] + 1)])
+        at = 0
+        while at < len(low):
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + most, "right")) - 1)
+            part, at = low[at:to], to
+            first = block[part[0]]
+            own = order[part]
+            index = RunLengthIndex(data[spread(begin[own], sizes[own])], sizes[own], block[part] - first)
+            lo, hi = np.searchsorted(block[high], [first, block[part[-1]] + 1])
+            share = np.cumsum(sizes[order[high[lo:hi]]]) // most
+            for streamed in np.split(high[lo:hi], np.flatnonzero(np.diff(share)) + 1):
+                which = order[streamed]
+                hit = index.statistics(data[spread(begin[which], sizes[which])], sizes[which], block[streamed] - first) >= length
+                found[spread(row[which], sizes[which])] |= hit
+    return found, row
 
 
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
-def _pack(keys: np.ndarray, ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, body: bytes) -> bytes:
-    """Columns of contexts in order of ids; byte by byte, as that compresses well."""
-    steps = np.diff(ids, prepend=0)
-    whole = [np.ascontiguousarray(x.astype("<i8").view("<u1").reshape(-1, 8).T).tobytes() for x in (steps, starts)]
-    data = b"".join([keys.astype("<u8").tobytes(), rids.astype("<i4").tobytes(), *whole, sizes.tobytes(), body])
-    return np.array([len(keys), len(data)], "<i8").tobytes() + _ZSTD.compress(data, asbytes=True)
+def _bytewise(x: np.ndarray, kind: str) -> bytes:
+    """A column byte by byte, as that compresses well."""
+    return np.ascontiguousarray(x.astype(kind).view("<u1").reshape(len(x), -1).T).tobytes()
+
+
+def _whole(raw: bytes, n: int, at: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, "<u1", width * n, at).reshape(width, n).T).view(kind).ravel()
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    n, size = np.frombuffer(data, "<i8", 2).tolist()
-    raw = _ZSTD.decompress(data[16:], size, asbytes=True)
-    steps, starts = (np.ascontiguousarray(np.frombuffer(raw, "<u1", 8 * n, at).reshape(8, n).T).view("<i8").ravel() for at in (12 * n, 20 * n))
-    return np.frombuffer(raw, "<u8", n), np.cumsum(steps), np.frombuffer(raw, "<i4", n, 8 * n).astype(np.int64), starts, np.frombuffer(raw, "<u1", n, 28 * n).astype(np.int64), raw[29 * n :]
+def _pack(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, grams: np.ndarray, body: bytes) -> bytes:
+    """Columns of contexts in order of ids and rids: a table of documents, then starts, sizes, places of the grams, bytes."""
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rids[1:] != rids[:-1])]))
+    counts = np.diff(np.append(first, len(ids)))
+    data = b"".join([_bytewise(np.diff(ids[first], prepend=0), "<i8"), rids[first].astype("<i8").tobytes(), _bytewise(counts, "<u4"), _bytewise(starts, "<u4"), sizes.astype("<u1").tobytes(), grams.astype("<u1").tobytes(), body])
+    return np.array([len(first), len(ids), len(data)], "<i8").tobytes() + _ZSTD.compress(data, asbytes=True)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    m, n, size = np.frombuffer(data, "<i8", 3).tolist()
+    raw = _ZSTD.decompress(data[24:], size, asbytes=True)
+    counts = _whole(raw, m, 16 * m, "<u4").astype(np.int64)
+    ids, rids = np.repeat(np.cumsum(_whole(raw, m, 0, "<i8")), counts), np.repeat(np.frombuffer(raw, "<i8", m, 8 * m), counts)
+    at = 20 * m
+    return ids, rids, _whole(raw, n, at, "<u4").astype(np.int64), np.frombuffer(raw, "<u1", n, at + 4 * n).astype(np.int64), np.frombuffer(raw, "<u1", n, at + 5 * n).astype(np.int64), np.frombuffer(raw, "<u1", offset=at + 6 * n)
 
 
 _PART = "bucket int, doc_id long, rid long, data binary"
@@ -184,17 +286,17 @@ def _contexts(buckets: int):
 
         def full():
             nonlocal held, size, number
-            table, key, hashed, start, end, doc = held, *(np.concatenate(x) for x in zip(*((h[3], h[4], h[5], h[6], np.full(len(h[3]), i)) for i, h in enumerate(held)), strict=True))
-            ids = np.array([h[0] for h in table], np.int64)
+            table, key, hashed, start, end, gram, doc = held, *(np.concatenate(x) for x in zip(*((*h[3:], np.full(len(h[3]), i)) for i, h in enumerate(held)), strict=True))
+            ids, rids = (np.array([h[c] for h in table], np.int64) for c in (0, 1))
             held, size, number = [], 0, number + 1
             order = np.lexsort((ids[doc], hashed, key))
             k, x, d = key[order], hashed[order], ids[doc[order]]
             first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])]))
             least = np.repeat(d[first], np.diff(np.append(first, len(k))))
             out = []
-            covered = order[d > least]
-            covered = covered[np.argsort(doc[covered], kind="stable")]
-            for part in np.split(covered, np.flatnonzero(np.diff(doc[covered])) + 1) if len(covered) else []:
+            covered_ = order[d > least]
+            covered_ = covered_[np.argsort(doc[covered_], kind="stable")]
+            for part in np.split(covered_, np.flatnonzero(np.diff(doc[covered_])) + 1) if len(covered_) else []:
                 h = table[doc[part[0]]]
                 out.append(((number + len(out)) % buckets, h[0], h[1], np.stack([start[part], end[part]], 1).astype("<i8").tobytes()))
             # One of each (context, id) goes on; its other places in the same document follow it.
@@ -202,19 +304,18 @@ def _contexts(buckets: int):
             where, parts = by_bucket(key[rest], buckets)
             for b, lo, hi in parts:
                 at = rest[where[lo:hi]]
-                at = at[np.argsort(ids[doc[at]], kind="stable")]
-                n = (end[at] - start[at]).astype("<u1")
+                at = at[np.lexsort((start[at], rids[doc[at]], ids[doc[at]]))]
                 body = b"".join([table[i][2][s:e] for i, s, e in zip(doc[at].tolist(), start[at].tolist(), end[at].tolist(), strict=True)])
-                out.append((b, None, None, _pack(key[at], ids[doc[at]], np.array([table[i][1] for i in doc[at].tolist()], np.int64), start[at], n, body)))
+                out.append((b, None, None, _pack(ids[doc[at]], rids[doc[at]], start[at], end[at] - start[at], gram[at] - start[at], body)))
             return _rows(out)
 
         for batch in batches:
             for part in slices(batch):
-                for doc, rid, bits, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "_rid", "bits")), texts(part.column("text")), strict=True):
-                    keys, first, last, sums = chosen(text)
+                for doc, rid, bits, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "rid", "bits")), texts(part.column("text")), strict=True):
+                    keys, place, first, last, sums = chosen(text)
                     on = np.flatnonzero(marked(keys, bits))
                     a, b = first[on], last[on] + LENGTH
-                    held.append((doc, rid, text, keys[on], span_hash(sums, a, b), a, b))
+                    held.append((doc, rid, text, keys[on], span_hash(sums, a, b), a, b, place[on]))
                     size += int((b - a).sum()) + len(text)
                     if size >= HELD:
                         yield full()
@@ -226,53 +327,52 @@ def _contexts(buckets: int):
 
 def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One bucket: spans of its contexts that smaller ids cover; ready spans pass."""
-    out_doc, out_rid, out = [], [], []
-    keys, ids, rids, starts, sizes, texts_ = [], [], [], [], [], []
+    out_doc, out_rid, out, packs = [], [], [], []
     for doc, rid, data in zip(table.column("doc_id").to_pylist(), table.column("rid").to_pylist(), table.column("data").to_pylist(), strict=True):
-        if doc is not None:
+        if doc is None:
+            packs.append(_unpack(data))
+        else:
             out_doc.append(doc), out_rid.append(rid), out.append(data)
-            continue
-        k, d, r, s, z, body = _unpack(data)
-        at = np.concatenate([[0], np.cumsum(z)])
-        keys.append(k), ids.append(d), rids.append(r), starts.append(s), sizes.append(z)
-        texts_ += [body[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if keys:
-        k, d, r, s, z = map(np.concatenate, (keys, ids, rids, starts, sizes))
-        # One text, one number; its least id.
-        number: dict[bytes, int] = {}
-        text = np.array([number.setdefault(t, len(number)) for t in texts_])
-        distinct = list(number)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, text, d)
-        whole = np.flatnonzero(d > least[text])
-        found.append((whole, s[whole], s[whole] + z[whole]))
+    if packs:
+        d, r, s, z, gram, data = map(np.concatenate, zip(*packs, strict=True))
+        packs.clear()
+        begin = np.cumsum(z) - z
+        sums = prefix_hash(data)
+        keys, whole = span_hash(sums, begin + gram, begin + gram + GRAM), span_hash(sums, begin, begin + z)
+        del sums
+        # Equal contexts of a gram: all but those of the least id are covered.
+        order = np.lexsort((d, whole, keys))
+        k, x = keys[order], whole[order]
+        new_key = np.concatenate([[True], k[1:] != k[:-1]])
+        new = new_key | np.concatenate([[True], x[1:] != x[:-1]])
+        head = np.flatnonzero(new)
+        text = np.cumsum(new) - 1
+        least = d[order[head]]
+        later = order[d[order] > least[text]]
+        row, a, b = [later], [s[later]], [s[later] + z[later]]
         # Grams with several texts: a text's windows may stand in another's.
-        gram = np.empty(len(distinct), np.uint64)
-        gram[text] = k
-        order = np.argsort(gram, kind="stable")
-        g = gram[order]
-        same = g[1:] == g[:-1]
-        several = order[np.append(same, False) | np.append(False, same)]
-        several = several[np.argsort(least[several], kind="stable")]
+        number = np.cumsum(new_key) - 1
+        group = number[head]
+        several = np.flatnonzero(np.bincount(group)[group] > 1)
         if len(several):
-            index = RunLengthIndex([distinct[i] for i in several.tolist()])
-            hits = index.matches(least[several])
-            place = np.full(len(distinct), -1)
-            place[several] = np.arange(len(several))
-            own = np.flatnonzero((place[text] >= 0) & (d == least[text]))
-            p = place[text[own]]
-            # Runs of places where matches start, in the row of texts.
+            first = order[head[several]]
+            hits, laid = covered(data, begin[first], z[first], group[several], least[several])
+            # Runs of places where matches start, in the row of texts; matches end within their text.
             edge = np.diff(np.concatenate([[0], hits.astype(np.int8), [0]]))
-            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            in_text = np.searchsorted(index.ends, a)
-            lo, hi = np.searchsorted(in_text, p, "left"), np.searchsorted(in_text, p, "right")
-            n = hi - lo
-            take = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-            row = np.repeat(own, n)
-            base = s[row] - index.starts[np.repeat(p, n)]
-            found.append((row, base + a[take], base + b[take] - 1 + LENGTH))
-        row, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            of = np.searchsorted(laid, lo, "right") - 1
+            # Every context of the least id of a text gets the text's runs.
+            place = np.full(len(head), -1)
+            place[several] = np.arange(len(several))
+            p = place[text]
+            own = np.flatnonzero((p >= 0) & (d[order] == least[text]))
+            p = p[own]
+            left, right = np.searchsorted(of, p, "left"), np.searchsorted(of, p, "right")
+            n = right - left
+            take, own = spread(left, n), np.repeat(order[own], n)
+            base = s[own] - np.repeat(laid[p], n)
+            row.append(own), a.append(base + lo[take]), b.append(base + hi[take] - 1 + LENGTH)
+        row, a, b = map(np.concatenate, (row, a, b))
         order = np.lexsort((a, r[row], d[row]))
         row, a, b = row[order], a[order], b[order]
         cuts = np.flatnonzero((np.diff(d[row]) != 0) | (np.diff(r[row]) != 0)) + 1
@@ -302,33 +402,46 @@ def kept_bytes(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "_spans", "_rid")]
-    source = docs.select(*(text_of().alias("text") if c == "text" else F.col(f"`{c}`") for c in names)).withColumn("_rid", F.hash("text").cast("long"))
+def spans_of(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, spans (arrays of packed spans) of the documents (doc_id, rid, text) that lose bytes."""
     buckets = 4 * parallelism(docs.sparkSession)
-    bits = shared_bits(source.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("_rid").alias("rid"), "text"), gram_keys)
-    # The documents are dealt out by id and text once: both joins have the same keys and columns,
-    # so that the second reads the first one's exchange.
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_rid").eqNullSafe(F.col("_r"))
-    found = source.join(bits.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "bits"), same).mapInArrow(_contexts(buckets), _PART)
+    known = docs.where(F.col("doc_id").isNotNull())
+    table = written(shared_bits(known, gram_keys), "gram-bits")
+    bits = table.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "bits")
+    some = flagged(known, "doc_id", bitmap(bits, "_d")).where("_flag")
+    found = some.join(bits, (F.col("doc_id") == F.col("_d")) & (F.col("rid") == F.col("_r"))).select("doc_id", "rid", "bits", "text").mapInArrow(_contexts(buckets), _PART)
     spans = found.groupBy("bucket").applyInArrow(_resolve, "doc_id long, rid long, spans binary")
-    spans = spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("_spans")).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "_spans")
-    joined = source.join(spans, same, "left").select(*(F.col(f"`{c}`") for c in names), "_spans")
+    out = written(spans.groupBy("doc_id", "rid").agg(F.collect_list("spans").alias("spans")), "spans")
+    forget(table)
+    return out
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
+    more = ["n_bytes", "n_removed", "n_spans", "kept"]
+    docs = docs.drop(*more)
+    # Columns are known by their places in here, so that their names cannot clash.
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    doc, text = (own[docs.columns.index(c)] for c in ("doc_id", "text"))
+    source = docs.toDF(*own).withColumn(text, F.coalesce(text, F.lit(""))).withColumn("rid", F.xxhash64(text))
+    spans = spans_of(source.select(F.col(doc).cast("long").alias("doc_id"), "rid", F.col(text).alias("text"))).withColumnsRenamed({"doc_id": "_d", "rid": "_r"})
+    marked_ = flagged(source.withColumn("doc", F.col(doc).cast("long")), "doc", bitmap(spans, "_d"))
+    near = marked_.where("_flag").join(spans, (F.col("doc") == F.col("_d")) & (F.col("rid") == F.col("_r")), "left").select(*own, "spans")
+    joined = near.unionByName(marked_.where("not _flag").select(*own, F.lit(None).cast("array<binary>").alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                raw = texts(part.column("text"))
-                cut = [merged(s or []) for s in part.column("_spans").to_pylist()]
+                raw = texts(part.column(text))
+                cut = [merged(s or []) for s in part.column("spans").to_pylist()]
                 kept = [kept_bytes(x, s) for x, s in zip(raw, cut, strict=True)]
-                more = [pa.array(map(len, raw), pa.int64()), pa.array([len(x) - len(y) for x, y in zip(raw, kept, strict=True)], pa.int64()), pa.array(map(len, cut), pa.int64()), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *more], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+                out = [pa.array(map(len, raw), pa.int64()), pa.array([len(x) - len(y) for x, y in zip(raw, kept, strict=True)], pa.int64()), pa.array(map(len, cut), pa.int64()), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *out], [*own, *more])
 
-    kind = joined.select(*(F.col(f"`{c}`") for c in names)).schema
-    for c in ("n_bytes", "n_removed", "n_spans"):
+    kind = joined.drop("spans").schema
+    for c in more[:3]:
         kind = kind.add(c, "long")
-    return joined.mapInArrow(run, kind.add("kept", "binary"))
+    return joined.mapInArrow(run, kind.add("kept", "binary")).toDF(*docs.columns, *more)
 
 
 def digests(rows: DataFrame) -> DataFrame:
