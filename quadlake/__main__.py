@@ -1,4 +1,4 @@
-"""The command line: python -m quadlake inspect | optimize | simplify | copy FILE ..."""
+"""The command line: python -m quadlake inspect | optimize | simplify | copy | verify FILE ..., or -m FILE ..."""
 
 from __future__ import annotations
 
@@ -64,9 +64,33 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tolerance", type=float)
 
     command("copy", copies=True)
+    command("verify")
     return top
 
 
+def without_command(args: list[str]) -> list[str]:
+    """The call with a subcommand that a call without one stands for: a style asks for a pruned copy, a place with layers or
+    a tolerance for a simplified tile, a place alone for a summary of its tile, and a file alone for a report."""
+    p = argparse.ArgumentParser(prog="quadlake")
+    p.add_argument("-m", "--mbtiles", required=True)
+    p.add_argument("-s", "--style")
+    p.add_argument("-o", "--output")
+    for flag in "xyz":
+        p.add_argument(f"-{flag}", type=int)
+    p.add_argument("-l", action="append", default=[])
+    p.add_argument("-t", type=float)
+    a = p.parse_args(args)
+    out = ["--output", a.output] if a.output else []
+    if a.style:
+        return ["optimize", a.mbtiles, "--style", a.style, "--style-mode", "vt-compat", *out]
+    if None in (a.x, a.y, a.z):
+        return ["inspect", a.mbtiles]
+    if not a.l and a.t is None:
+        return ["inspect", a.mbtiles, "--histogram-buckets", "0", "--stats", "tile_summary", "--tile", f"{a.z}/{a.x}/{a.y}", "--summary"]
+    layers = [x for name in a.l for x in ("--layer", name)]
+    return ["simplify", a.mbtiles, "--z", str(a.z), "--x", str(a.x), "--y", str(a.y), *layers, *(["--tolerance", str(a.t)] if a.t is not None else []), *out]
+
+
 def checked(a: argparse.Namespace) -> argparse.Namespace:
     """Options of inspect that go together, and the defaults that follow from them."""
     if a.ndjson_compact:
@@ -143,12 +167,21 @@ def copy(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     return [f"{made.path}: {made.tiles().count()} tiles"]
 
 
+def verify(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """Only that the file can be opened."""
+    Tileset(spark, a.input).tiles()
+    return [f"verify: input={a.input}"]
+
+
 def main(args: list[str] | None = None) -> int:
+    args = sys.argv[1:] if args is None else args
+    if args and args[0].startswith("-") and args[0] not in ("-h", "--help"):
+        args = without_command(args)
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("quadlake").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     try:
-        lines = {"inspect": inspect, "optimize": optimize, "simplify": simplify, "copy": copy}[a.command](spark, a)
+        lines = {"inspect": inspect, "optimize": optimize, "simplify": simplify, "copy": copy, "verify": verify}[a.command](spark, a)
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

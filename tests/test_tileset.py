@@ -101,6 +101,20 @@ def test_record_stream(spark, path, capsys):
     assert row["summary"]["layer_count"] == 2 and {x["layer"]: x["feature_count"] for x in row["summary"]["layers"]} == {"roads": 3, "water": 1}
 
 
+def test_calls_without_a_subcommand(spark, path, tmp_path, capsys):
+    from quadlake.__main__ import without_command
+
+    assert without_command(["-m", "a", "-x", "1", "-y", "2", "-z", "3", "-l", "r", "-l", "s", "-t", "0.5", "-o", "b"]) == ["simplify", "a", "--z", "3", "--x", "1", "--y", "2", "--layer", "r", "--layer", "s", "--tolerance", "0.5", "--output", "b"]
+    assert without_command(["-m", "a", "-x", "1"]) == ["inspect", "a"]
+    style = tmp_path / "style.json"
+    style.write_text(json.dumps(STYLE))
+    run = lambda *a: (main(list(a)), capsys.readouterr().out)
+    code, out = run("-m", path, "-z", "1", "-x", "1", "-y", "0")
+    assert code == 0 and "roads" in out and "== tile_summary ==" in out and "histogram" not in out
+    assert run("-m", path, "-s", str(style), "-o", str(tmp_path / "p.mbtiles"))[0] == 0 and (tmp_path / "p.mbtiles").exists()
+    assert run("verify", path) == (0, f"verify: input={path}\n")
+
+
 def test_formats():
     assert format_of("A.MBTiles") == "mbtiles" and output_of("d/a.mbtiles", None, "pmtiles", "pruned") == ("d/a.pruned.pmtiles", "pmtiles")
     for bad in (lambda: format_of("a.txt"), lambda: output_of("a.mbtiles", "b.pmtiles", "mbtiles", "x")):
