@@ -115,6 +115,17 @@ def unsqueezed(data: bytes) -> bytes:
     return _zstd.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
+def bytewise(x: np.ndarray, kind: str) -> bytes:
+    """A column byte by byte, as that compresses well."""
+    return np.ascontiguousarray(x.astype(kind).view("<u1").reshape(len(x), -1).T).tobytes()
+
+
+def whole(raw: bytes, n: int, at: int, kind: str) -> np.ndarray:
+    """The column of ``n`` numbers that ``bytewise`` wrote at ``at``."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, "<u1", width * n, at).reshape(width, n).T).view(kind).ravel()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 over a uint64 array."""
     with np.errstate(over="ignore"):

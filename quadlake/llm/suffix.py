@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import bitmap, flagged, forget, parallelism, prefix_hash, slices, span_hash, texts, written
+from quadlake.llm.common import bitmap, bytewise, flagged, forget, parallelism, prefix_hash, slices, span_hash, texts, whole, written
 from quadlake.llm.shared import by_bucket, marked, shared_bits
 
 LENGTH, GRAM = 50, 20
@@ -75,8 +75,8 @@ def gram_keys(text: bytes) -> np.ndarray:
     return chosen(text)[0]
 
 
-#: Symbols that are packed to one number for the first ranks; ranks of 7, 14, 28, ... symbols follow.
-WORD = 7
+#: Symbols that are packed to one number for the first ranks; ranks of 3, 6, 12, ... symbols follow.
+WORD = 3
 
 
 class RunLengthIndex:
@@ -103,16 +103,15 @@ class RunLengthIndex:
             part[: max(0, n - k)] = symbol[k:]
             word |= np.where(self.left > k, part, 0) << (9 * (WORD - 1 - k))
         self.word = word
-        rank = self._dense(word)
-        rank = self._dense(group * (int(rank.max()) + 1) + rank)
+        order, rank = self._dense((group << 9 * WORD) + word)
         self.ranks, h, most = [(WORD, rank)], WORD, int(sizes.max())
         while h < most:  # ranks by twice as many symbols
             after = np.zeros(n, np.int64)
             more = np.flatnonzero(self.left > h)
             after[more] = rank[more + h] + 1
-            rank, h = self._dense(rank * (n + 1) + after), 2 * h
+            order, rank = self._dense(rank * (n + 1) + after)
+            h *= 2
             self.ranks.append((h, rank))
-        order = np.argsort(rank * n + np.arange(n))
         code = group * 257 + symbol
         before = np.where(np.concatenate([[0], symbol[:-1]]) > 0, np.concatenate([[0], code[:-1]]), -1)[order]
         head = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
@@ -121,7 +120,7 @@ class RunLengthIndex:
         self.rows = n
         self.group_row = np.searchsorted(first, np.arange(int(group[-1]) + 2) * 257)
         # Runs by their character, then by their rows.
-        by = np.argsort(before[head] * n + head)
+        by = np.sort(before[head] * len(head) + np.arange(len(head))) % len(head)
         by = by[np.searchsorted(before[head][by], 0) :]
         self.code, self.head, self.size = before[head][by], head[by], (last - head + 1)[by]
         self.key = self.code * n + self.head
@@ -132,12 +131,20 @@ class RunLengthIndex:
         self.group_sample = order[np.minimum(self.group_row, n - 1)]
 
     @staticmethod
-    def _dense(x: np.ndarray) -> np.ndarray:
-        order = np.argsort(x)
-        y = x[order]
-        out = np.empty(len(x), np.int64)
+    def _dense(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of numbers, equal ones by their places, and their ranks. Numbers are sorted with their
+        places in their lower digits, which is much quicker than by an order."""
+        n = len(x)
+        if int(x.max()) < (1 << 62) // n:
+            packed = np.sort(x * n + np.arange(n))
+            y = packed // n
+            order = packed - y * n
+        else:
+            order = np.argsort(x, kind="stable")
+            y = x[order]
+        out = np.empty(n, np.int64)
         out[order] = np.cumsum(np.concatenate([[0], (y[1:] != y[:-1]).astype(np.int64)]))
-        return out
+        return order, out
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many symbols the suffixes at places a and b have in common, at most ``most``."""
@@ -167,19 +174,27 @@ class RunLengthIndex:
             code = g * 257 + data[at]
             k = np.searchsorted(self.key, code * self.rows + row, "right")
             prev, next_ = np.maximum(k - 1, 0), np.minimum(k, len(self.key) - 1)
-            has_prev, has_next = (k > 0) & (self.code[prev] == code), (k < len(self.key)) & (self.code[next_] == code)
-            stay = has_prev & (row < self.head[prev] + self.size[prev])
+            stay = (self.code[prev] == code) & (row < self.head[prev] + self.size[prev]) & (k > 0)
+            new_row, new_length = self.target[prev] + row - self.head[prev], length + 1
+            new_place = place - 1
             # Jumps to the nearest runs of the character: their ends' samples tell what remains of the match.
-            jump = np.flatnonzero(~stay & (has_prev | has_next) & (length > 0))
-            up, down = np.zeros(live, np.int64), np.zeros(live, np.int64)
-            up[jump] = np.where(has_prev[jump], self.common(place[jump], self.sample_last[prev[jump]], length[jump]), -1)
-            down[jump] = np.where(has_next[jump], self.common(place[jump], self.sample_first[next_[jump]], length[jump]), -1)
-            back = ~stay & has_prev & (~has_next | (up >= down))
-            forth = ~stay & ~back & has_next
-            new_row, new_place, new_length = self.group_row[g], self.group_sample[g], np.zeros(live, np.int64)
-            new_row = np.where(stay, self.target[prev] + row - self.head[prev], np.where(back, self.target[prev] + self.size[prev] - 1, np.where(forth, self.target[next_], new_row)))
-            new_place = np.where(stay, place - 1, np.where(back, self.sample_last[prev] - 1, np.where(forth, self.sample_first[next_] - 1, new_place)))
-            new_length = np.where(stay, length + 1, np.where(back, up + 1, np.where(forth, down + 1, 0)))
+            away = np.flatnonzero(~stay)
+            if len(away):
+                c, most = code[away], length[away]
+                p, n = prev[away], next_[away]
+                up = np.where((k[away] > 0) & (self.code[p] == c), 0, -1)
+                down = np.where((k[away] < len(self.key)) & (self.code[n] == c), 0, -1)
+                far = np.flatnonzero((up == 0) & (most > 0))
+                up[far] = self.common(place[away[far]], self.sample_last[p[far]], most[far])
+                far = np.flatnonzero((down == 0) & (most > np.maximum(up, 0)))  # else it cannot be better
+                down[far] = self.common(place[away[far]], self.sample_first[n[far]], most[far])
+                back = (up >= 0) & (up >= down)
+                best = np.maximum(up, down)
+                none = best < 0
+                group = g[away]
+                new_row[away] = np.where(none, self.group_row[group], np.where(back, self.target[p] + self.size[p] - 1, self.target[n]))
+                new_place[away] = np.where(none, self.group_sample[group], np.where(back, self.sample_last[p], self.sample_first[n]) - 1)
+                new_length[away] = best + 1
             out[at] = new_length
             at, row, place, length = at - 1, new_row, new_place, new_length
         return out
@@ -239,31 +254,21 @@ def covered(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, groups: np.n
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
-def _bytewise(x: np.ndarray, kind: str) -> bytes:
-    """A column byte by byte, as that compresses well."""
-    return np.ascontiguousarray(x.astype(kind).view("<u1").reshape(len(x), -1).T).tobytes()
-
-
-def _whole(raw: bytes, n: int, at: int, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, "<u1", width * n, at).reshape(width, n).T).view(kind).ravel()
-
-
 def _pack(ids: np.ndarray, rids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, grams: np.ndarray, body: bytes) -> bytes:
     """Columns of contexts in order of ids and rids: a table of documents, then starts, sizes, places of the grams, bytes."""
     first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rids[1:] != rids[:-1])]))
     counts = np.diff(np.append(first, len(ids)))
-    data = b"".join([_bytewise(np.diff(ids[first], prepend=0), "<i8"), rids[first].astype("<i8").tobytes(), _bytewise(counts, "<u4"), _bytewise(starts, "<u4"), sizes.astype("<u1").tobytes(), grams.astype("<u1").tobytes(), body])
+    data = b"".join([bytewise(np.diff(ids[first], prepend=0), "<i8"), rids[first].astype("<i8").tobytes(), bytewise(counts, "<u4"), bytewise(starts, "<u4"), sizes.astype("<u1").tobytes(), grams.astype("<u1").tobytes(), body])
     return np.array([len(first), len(ids), len(data)], "<i8").tobytes() + _ZSTD.compress(data, asbytes=True)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     m, n, size = np.frombuffer(data, "<i8", 3).tolist()
     raw = _ZSTD.decompress(data[24:], size, asbytes=True)
-    counts = _whole(raw, m, 16 * m, "<u4").astype(np.int64)
-    ids, rids = np.repeat(np.cumsum(_whole(raw, m, 0, "<i8")), counts), np.repeat(np.frombuffer(raw, "<i8", m, 8 * m), counts)
+    counts = whole(raw, m, 16 * m, "<u4").astype(np.int64)
+    ids, rids = np.repeat(np.cumsum(whole(raw, m, 0, "<i8")), counts), np.repeat(np.frombuffer(raw, "<i8", m, 8 * m), counts)
     at = 20 * m
-    return ids, rids, _whole(raw, n, at, "<u4").astype(np.int64), np.frombuffer(raw, "<u1", n, at + 4 * n).astype(np.int64), np.frombuffer(raw, "<u1", n, at + 5 * n).astype(np.int64), np.frombuffer(raw, "<u1", offset=at + 6 * n)
+    return ids, rids, whole(raw, n, at, "<u4").astype(np.int64), np.frombuffer(raw, "<u1", n, at + 4 * n).astype(np.int64), np.frombuffer(raw, "<u1", n, at + 5 * n).astype(np.int64), np.frombuffer(raw, "<u1", offset=at + 6 * n)
 
 
 _PART = "bucket int, doc_id long, rid long, data binary"
@@ -338,11 +343,11 @@ def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         packs.clear()
         begin = np.cumsum(z) - z
         sums = prefix_hash(data)
-        keys, whole = span_hash(sums, begin + gram, begin + gram + GRAM), span_hash(sums, begin, begin + z)
+        keys, equal = span_hash(sums, begin + gram, begin + gram + GRAM), span_hash(sums, begin, begin + z)
         del sums
         # Equal contexts of a gram: all but those of the least id are covered.
-        order = np.lexsort((d, whole, keys))
-        k, x = keys[order], whole[order]
+        order = np.lexsort((d, equal, keys))
+        k, x = keys[order], equal[order]
         new_key = np.concatenate([[True], k[1:] != k[:-1]])
         new = new_key | np.concatenate([[True], x[1:] != x[:-1]])
         head = np.flatnonzero(new)
