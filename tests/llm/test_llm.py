@@ -85,6 +85,21 @@ def test_jaccard(spark, docs, small):
     assert len(found) == docs.count()
 
 
+def test_jaccard_of_hot_elements(spark, monkeypatch):
+    """Tiles of many documents in chunks: copies with changes, a passage that all have, sizes across bands."""
+    monkeypatch.setattr(jaccard, "CHUNK", 5)
+    monkeypatch.setattr(jaccard, "FIRST", 1)
+    rng = np.random.default_rng(5)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for i in range(90):
+        own = [f"w{i % 6}-{j}" for j in range(60)]
+        for at in rng.integers(0, 60, int(rng.integers(0, 4))):
+            own[at] = f"x{i}"
+        rows.append((i, " ".join(passage + own[: 60 - int(rng.integers(0, 12))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()} == components(rows)
+
+
 def test_tiles_agree_with_all_pairs():
     """Similar sets share first elements, their signatures pass, and the tiles find them in blocks of any chunks."""
     rng = np.random.default_rng(1)
@@ -209,7 +224,7 @@ def test_pieces_against_the_library(spark, docs):
 
 def test_token_counts(spark, docs, tmp_path, monkeypatch):
     library = tokens.WordCache(tokens.vocabulary()).library
-    odd = spark.createDataFrame([(20, "İ ΑΣ x² don\u2019t we\'LL"), (21, "a<|startoftext|>b"), (22, " One\ttwo "), (23, "one two"), (24, "one\u00a0two"), (25, "a <|x b"), (26, "A  <|X B")], "doc_id long, text string")
+    odd = spark.createDataFrame([(20, "İ ΑΣ x² don\u2019t we\'LL"), (21, "a<|startoftext|>b"), (22, " One\ttwo "), (23, "one two"), (24, "one\u00a0two"), (25, "a <|x b"), (26, "A <|X B"), (27, "  ONE TWO"), (28, "Tab\x01\x7f "), (29, "tab\x01\x7f")], "doc_id long, text string")
     rows = docs.select("doc_id", "text").unionByName(odd)
     count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
     expected = sorted((r.doc_id is None, r.doc_id or 0, len((r.text or "").encode()), count(r.text)) for r in rows.collect())
