@@ -148,7 +148,7 @@ def optimize(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     if kind != source.kind:
         raise ValueError("tiles are optimized within one format")
     unknown = a.unknown_filter == "keep"
-    made = source.save(source.optimize(style, a.style_mode, unknown, a.drop_empty_tiles and kind == "mbtiles"), path, kind)
+    made = source.save(source.optimize(style, a.style_mode, unknown, a.drop_empty_tiles and kind == "mbtiles"), path, kind, by_place=True)
     return shown(optimize_report(source, made, style, a.style_mode, unknown, a.max_tile_bytes), a.report_format)
 
 

@@ -189,12 +189,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def write(tiles: DataFrame, path: str, metadata: dict[str, str] | None = None, two_tables: bool = False) -> None:
+def write(tiles: DataFrame, path: str, metadata: dict[str, str] | None = None, two_tables: bool = False, by_place: bool = False, cache_mb: int = 200) -> None:
     """Write tiles in order of zoom, x, y to a new file; partitions are streamed to the driver, as the
-    format is one file with one writer. ``two_tables``: map and images, equal payloads stored once."""
+    format is one file with one writer. ``two_tables``: map and images, equal payloads stored once, or, ``by_place``,
+    each tile's under the name z-x-y."""
     import hashlib
 
     db = sqlite3.connect(path)
+    db.execute("PRAGMA journal_mode = WAL")
+    db.execute("PRAGMA temp_store = MEMORY")
+    db.execute(f"PRAGMA cache_size = -{cache_mb * 1024}")
     with db:
         db.execute("CREATE TABLE metadata (name TEXT, value TEXT)")
         db.executemany("INSERT INTO metadata VALUES (?, ?)", sorted((metadata or {}).items()))
@@ -207,11 +211,12 @@ def write(tiles: DataFrame, path: str, metadata: dict[str, str] | None = None, t
         for r in tiles.select("zoom", "x", "y", "tile_data").orderBy("zoom", "x", "y").toLocalIterator():
             data = bytes(r.tile_data)
             if two_tables:
-                key = hashlib.sha256(data).hexdigest()
+                key = f"{r.zoom}-{r.x}-{r.y}" if by_place else hashlib.sha256(data).hexdigest()
                 db.execute("INSERT INTO map VALUES (?, ?, ?, ?)", (r.zoom, r.x, r.y, key))
                 db.execute("INSERT OR IGNORE INTO images VALUES (?, ?)", (key, data))
             else:
                 db.execute("INSERT INTO tiles VALUES (?, ?, ?, ?)", (r.zoom, r.x, r.y, data))
+    db.execute("PRAGMA journal_mode = DELETE")  # one file is left
     db.close()
 
 

@@ -125,8 +125,8 @@ class Tileset:
             raise ValueError(f"there is no tile {z}/{x}/{y}")
         return simplified(one, layers, tolerance)
 
-    def save(self, tiles: DataFrame, path: str, kind: str | None = None) -> Tileset:
-        """Write tiles as a file with this one's metadata; map and images stay two tables."""
+    def save(self, tiles: DataFrame, path: str, kind: str | None = None, by_place: bool = False) -> Tileset:
+        """Write tiles as a file with this one's metadata; map and images stay two tables, ``by_place`` with an image for each tile."""
         kind = format_of(path, kind)
         if Path(path).exists():
             if Path(path).samefile(self.path):
@@ -135,7 +135,7 @@ class Tileset:
         if kind == "pmtiles":
             archive.write(tiles, path, self.metadata())
         else:
-            mbtiles.write(tiles, path, self.metadata(), two_tables=self.kind == "mbtiles" and mbtiles.is_split(self.path))
+            mbtiles.write(tiles, path, self.metadata(), two_tables=self.kind == "mbtiles" and mbtiles.is_split(self.path), by_place=by_place)
         return Tileset(self.spark, path, kind)
 
     def copy(self, path: str, kind: str | None = None) -> Tileset:

@@ -81,6 +81,18 @@ def test_command_line(spark, path, tmp_path, capsys):
     assert run("copy", path, "--output-format", "pmtiles")[1].endswith("3 tiles\n")
 
 
+def test_pruned_copies_of_two_tables_have_an_image_for_each_tile(spark, path, tmp_path):
+    from quadlake.sources import mbtiles
+
+    own, split = Tileset(spark, path), str(tmp_path / "s.mbtiles")
+    mbtiles.write(own.tiles(data=True).unionByName(own.tiles(data=True).where("zoom = 1 and x = 0").selectExpr("zoom", "1L as x", "1L as y", "tile_bytes", "tile_data")), split, {}, two_tables=True)
+    names = lambda p: sorted(r[0] for r in sqlite3.connect(p).execute("SELECT tile_id FROM images"))
+    assert len(names(split)) == 3 and mbtiles.is_split(split)
+    source = Tileset(spark, split)
+    out = source.save(source.optimize(Style(STYLE)), str(tmp_path / "p.mbtiles"), by_place=True)
+    assert names(out.path) == ["0-0-0", "1-0-1", "1-1-0", "1-1-1"] and out.tiles().count() == 4
+
+
 def test_record_stream(spark, path, capsys):
     def stream(*a):
         assert main(["inspect", path, "--report-format", "ndjson", *a]) == 0
