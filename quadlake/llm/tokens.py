@@ -11,7 +11,7 @@ tokenizer version) -> count. Texts are joined to the stored counts, one copy of
 text that is missing is encoded, and the new counts are appended to the cache, a Parquet
 table with a folder for each tokenizer version. Without a path of one's own it lies in the
 scratch folder, so later calls on the same cluster find what earlier ones have counted.
-Normalised texts differ from texts in letter case and white space only, and only where the tokenizer
+Normalised texts differ from texts in letter case and spaces around them only, and only where the tokenizer
 ignores both (see ``normalised``), so equal digests have equal counts.
 
 Defined results: null text counts as empty; empty texts have 0 tokens; repeated rows are
@@ -35,8 +35,7 @@ from pyspark.sql import functions as F
 from quadlake.llm.common import forget, scratch, slices, text_of, texts, written
 
 #: Characters for which NFC, lower-casing by character and white space agree everywhere.
-_OTHER_CHARACTERS = "[^\t\n\r\x20-\x7e\xa1-įı-˿]"
-_OTHER = re.compile(_OTHER_CHARACTERS)
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-˿]")
 _LATIN = {k: "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
 #: The tokenizer's words, for these characters.
 _WORD = re.compile("'(?:[stmd]|re|ve|ll)|[{L}]+|[{N}]|[^\\s{L}{N}]+".format(**_LATIN))
@@ -194,10 +193,10 @@ def _count(path: str):
 
 
 def normalised(text: Column) -> Column:
-    """The text in lower case with single spaces where the tokenizer ignores case and white space: in
-    texts of plain Latin characters without "<|". Others stay as they are, so they differ from all plain ones."""
-    plain = ~text.rlike(_OTHER_CHARACTERS) & ~F.contains(text, F.lit("<|"))
-    return F.when(plain, F.lower(F.trim(F.regexp_replace(text, "[ \t\n\r]+", " ")))).otherwise(text)
+    """The text in lower case without spaces around it where the tokenizer ignores both: in
+    ASCII texts without "<|". Others stay as they are, so they differ from all of those."""
+    plain = (F.octet_length(text) == F.length(text)) & ~F.contains(text, F.lit("<|"))
+    return F.when(plain, F.lower(F.trim(text))).otherwise(text)
 
 
 def default_cache(spark: SparkSession) -> str:
