@@ -78,7 +78,8 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 SQL = {
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50)),
+k AS (SELECT doc_id, n, b, substr(h, 2 * b + 1, 2098) AS t FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 1000)) AS b FROM d WHERE n >= 50)),
+w AS (SELECT doc_id, b + j + 1 AS i, substr(t, 2 * j + 1, 100) AS s FROM (SELECT doc_id, b, t, unnest(range(0, least(1000, n - 49 - b))) AS j FROM k)),
 m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT w.doc_id, w.i, w.i > coalesce(lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) + 50, 0) AS opens FROM w JOIN m USING (s) WHERE least < w.doc_id),
 run AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
