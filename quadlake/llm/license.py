@@ -64,7 +64,7 @@ def _rules() -> Column:
 def _lower(text: Column) -> Column:
     """A-Z in lower case. Of other characters only the Kelvin sign becomes one of A-Z by ``lower``; changes of
     the others touch neither the words' places nor any phrase or rule, which are of A-Z."""
-    return F.when(F.contains(text, F.lit("K")), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
+    return F.when(F.contains(text, F.lit("\u212a")), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
 
 def _spaces(text: Column) -> Column:
