@@ -63,7 +63,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 class Encoder(ChunkStore):
     """Encoder and decoder of one model file; keeps the ids of chunks it has met."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         import sentencepiece
 
         model = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
