@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quadlake.llm.common import bytewise, parallelism, slices, squeezed, texts, unsqueezed, whole
 
-RUN = 2_000_000
+RUN = 1_000_000
 _PACKED = "bucket int, run long, data binary"
 _NAMES = ["bucket", "run", "data"]
 
