@@ -7,6 +7,7 @@ folder; on a cluster that is an error, as other machines could not read it.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -98,10 +99,19 @@ def texts(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.cast(kind).to_pylist()]
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 512):
     """Small parts of a batch: what is held as Python objects at a time stays small."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    tidy()
 
 
 _zstd = pa.Codec("zstd", compression_level=1)
