@@ -139,9 +139,14 @@ def whole(raw: bytes, n: int, at: int, kind: str) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 over a uint64 array."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        part = x >> np.uint64(30)
+        x = np.bitwise_xor(x, part, out=part)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        part = x >> np.uint64(27)
+        x ^= part
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= np.right_shift(x, np.uint64(31), out=part)
+        return x
 
 
 #: Odd base of the polynomial hashes, its inverse modulo 2**64, and a random value for each byte.
@@ -167,7 +172,9 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     up, _ = _power_tables(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTES[data] * up[: len(data)], out=out[1:])
+        each = _BYTES.take(data)
+        each *= up[: len(data)]
+        np.cumsum(each, out=out[1:])
     return out
 
 
@@ -176,3 +183,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     _, down = _power_tables(len(sums))
     with np.errstate(over="ignore"):
         return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of all spans of ``width`` bytes, in order of their places."""
+    _, down = _power_tables(len(sums))
+    with np.errstate(over="ignore"):
+        h = sums[width:] - sums[:-width]
+        h *= down[: len(h)]
+        h += np.uint64(width)
+        return mix(h)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import bytewise, parallelism, slices, squeezed, texts, unsqueezed, whole
+from quadlake.llm.common import bytewise, parallelism, slices, squeezed, texts, tidy, unsqueezed, whole
 
 RUN = 1_000_000
 _PACKED = "bucket int, run long, data binary"
@@ -144,6 +144,7 @@ def _match(key: tuple[pa.Scalar, ...], table: pa.Table, told: int = 0) -> pa.Tab
         for part in np.split(own, cuts) if len(own) else []:
             own_keys = (kept[part].astype("<u8") * np.uint64(told) + np.uint64(key[0].as_py())).tobytes() if told else b""
             out.append((1, int(r[part[0]]), e[part].astype("<u4").tobytes() + own_keys))
+    tidy()
     return pa.Table.from_batches([batch_of(out)])
 
 

@@ -37,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import bitmap, bytewise, flagged, forget, parallelism, prefix_hash, slices, span_hash, texts, whole, written
+from quadlake.llm.common import bitmap, bytewise, flagged, forget, parallelism, prefix_hash, slices, span_hash, texts, tidy, whole, window_hash, written
 from quadlake.llm.shared import by_bucket, marked, shared_bits
 
 LENGTH, GRAM = 50, 20
 #: Bytes of contexts that a task holds before it sends them.
 HELD = 16 << 20
+#: Lower bits of a number that hold a place in a text (Spark's are below 2**31 bytes).
+_PLACE = np.uint64((1 << 31) - 1)
 
 
 def chosen(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,21 +56,16 @@ def chosen(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
         return np.zeros(0, np.uint64), none, none, none, np.zeros(1, np.uint64)
     data = np.frombuffer(text, np.uint8)
     sums = prefix_hash(data)
-    at = np.arange(len(text) - GRAM + 1)
-    h = span_hash(sums, at, at + GRAM)
-    # The last place of the least hash among ``width`` grams, by doubling.
-    least, place, have = h, np.zeros(len(h), np.int8), 1
+    h = window_hash(sums, GRAM)
+    # The last place of the least hash among ``width`` grams, by doubling: hashes by their upper bits, places in their lower ones.
+    least, have = (h | _PLACE) - np.arange(len(h), dtype=np.uint64), 1
     while have < width:
         step = min(have, width - have)
-        m = len(least) - step
-        left, right = least[:m], least[step:]
-        take = right <= left
-        place = np.where(take, place[step:] + np.int8(step), place[:m])
-        least = np.where(take, right, left)
+        least = np.minimum(least[:-step], least[step:])
         have += step
-    where = np.arange(n) + place[:n]
-    new = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-    return h[where[new]], where[new], new, np.append(new[1:], n) - 1, sums
+    new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    where = (_PLACE - (least[new] & _PLACE)).astype(np.int64)
+    return h[where], where, new, np.append(new[1:], n) - 1, sums
 
 
 def gram_keys(text: bytes) -> np.ndarray:
@@ -158,9 +155,10 @@ class RunLengthIndex:
         lead = WORD - -(-_bit_length(differ) // 9)
         return np.minimum(n + lead, most)
 
-    def statistics(self, data: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    def statistics(self, data: np.ndarray, sizes: np.ndarray, groups: np.ndarray, least: int = 0) -> np.ndarray:
         """Matching statistics: of each place of the patterns laid in a row, the length of the longest string
-        that begins there and stands in a context of the pattern's group."""
+        that begins there and stands in a context of the pattern's group. A pattern may be left, with 0 at its other
+        places, as soon as no match of ``least`` symbols can begin at them."""
         data = data.astype(np.int64) + 1
         ends = np.cumsum(sizes)
         out = np.zeros(len(data), np.int64)
@@ -170,7 +168,12 @@ class RunLengthIndex:
         row, place, length = self.group_row[g], self.group_sample[g], np.zeros(len(which), np.int64)
         for step in range(int(sizes.max())):
             live = int(np.searchsorted(-rest, -step, "left"))  # patterns with more than ``step`` characters
-            g, at, row, place, length = (x[:live] for x in (g, at, row, place, length))
+            g, at, row, place, length, rest = (x[:live] for x in (g, at, row, place, length, rest))
+            able = length + rest >= least + step
+            if 8 * np.count_nonzero(able) < 7 * live:
+                g, at, row, place, length, rest = (x[able] for x in (g, at, row, place, length, rest))
+            if not len(at):
+                break
             code = g * 257 + data[at]
             k = np.searchsorted(self.key, code * self.rows + row, "right")
             prev, next_ = np.maximum(k - 1, 0), np.minimum(k, len(self.key) - 1)
@@ -246,11 +249,45 @@ def covered(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, groups: np.n
             share = np.cumsum(sizes[order[high[lo:hi]]]) // most
             for streamed in np.split(high[lo:hi], np.flatnonzero(np.diff(share)) + 1):
                 which = order[streamed]
-                hit = index.statistics(data[spread(begin[which], sizes[which])], sizes[which], block[streamed] - first) >= length
+                hit = index.statistics(data[spread(begin[which], sizes[which])], sizes[which], block[streamed] - first, length) >= length
                 found[spread(row[which], sizes[which])] |= hit
     return found, row
 
 
+def hashes(data: np.ndarray, begin: np.ndarray, gram: np.ndarray, sizes: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts laid in a row, whose grams begin ``gram`` bytes on: hashes of the grams, of the contexts, and (two rows) of the
+    grams with half of a window's other bytes before them or behind them, as far as the context has them. About
+    ``most`` bytes at a time."""
+    half = (LENGTH - GRAM) // 2
+    out = np.zeros((4, len(begin)), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(data), most)), len(begin)))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        base, z = begin[lo], sizes[lo:hi]
+        a = begin[lo:hi] - base
+        at, z = a + gram[lo:hi], a + z
+        sums = prefix_hash(data[base : base + z[-1]])
+        for row, start, end in zip(out, (at, a, np.maximum(a, at - half), at), (at + GRAM, z, at + GRAM, np.minimum(z, at + GRAM + half)), strict=True):
+            row[lo:hi] = span_hash(sums, start, end)
+    return out[0], out[1], out[2:]
+
+
+def akin(halves: np.ndarray, gram: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which contexts can share a window with a context of another id. Equal windows hold their gram at one place, so
+    they share half of their other bytes before it or half behind it (``halves``, as ``hashes`` gives them);
+    contexts that share neither half need no index."""
+    half = (LENGTH - GRAM) // 2
+    out = np.zeros(len(ids), bool)
+    for h, has in zip(halves, (gram >= half, sizes - gram >= GRAM + half), strict=True):
+        at = np.flatnonzero(has)
+        if len(at):
+            order = at[np.argsort(h[at])]
+            x, d = h[order], ids[order]
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            apart = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+            out[order[np.repeat(apart, np.diff(np.append(first, len(x))))]] = True
+    return out
+
+
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -342,9 +379,7 @@ def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         d, r, s, z, gram, data = map(np.concatenate, zip(*packs, strict=True))
         packs.clear()
         begin = np.cumsum(z) - z
-        sums = prefix_hash(data)
-        keys, equal = span_hash(sums, begin + gram, begin + gram + GRAM), span_hash(sums, begin, begin + z)
-        del sums
+        keys, equal, halves = hashes(data, begin, gram, z)
         # Equal contexts of a gram: all but those of the least id are covered.
         order = np.lexsort((d, equal, keys))
         k, x = keys[order], equal[order]
@@ -359,6 +394,8 @@ def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         number = np.cumsum(new_key) - 1
         group = number[head]
         several = np.flatnonzero(np.bincount(group)[group] > 1)
+        own = order[head[several]]
+        several = several[akin(halves[:, own], gram[own], z[own], least[several])]
         if len(several):
             first = order[head[several]]
             hits, laid = covered(data, begin[first], z[first], group[several], least[several])
@@ -385,6 +422,7 @@ def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
             if lo < hi:
                 out_doc.append(int(d[row[lo]])), out_rid.append(int(r[row[lo]])), out.append(spans[lo:hi].tobytes())
+    tidy()
     return pa.Table.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_rid, pa.int64()), pa.array(out, pa.binary())], schema=_SPANS)
 
 

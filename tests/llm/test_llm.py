@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,52 @@ def test_suffix_small_table(spark):
     assert own == removed([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
 
 
+def test_contexts_that_share_no_half_are_not_indexed(monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    gram, core = letters(20), letters(60)
+    far = [letters(30) + gram + letters(30) for _ in range(6)]  # nothing but the gram is shared
+    near = [core[:14] + gram + core[14:30] + letters(1 + i) for i in range(4)]  # one window is shared, begun before the gram
+    texts_, gram_at = far + near, np.array([30] * 6 + [14] * 4)
+    sizes, ids = np.array(list(map(len, texts_))), np.arange(10)
+    begin, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(texts_), np.uint8)
+    _, _, halves = suffix.hashes(data, begin, gram_at, sizes, most=100)
+    assert suffix.akin(halves, gram_at, sizes, ids).tolist() == [False] * 6 + [True] * 4
+    assert not suffix.akin(halves, gram_at, sizes, np.zeros(10, np.int64)).any()
+
+    indexed = []
+    own = suffix.RunLengthIndex
+    monkeypatch.setattr(suffix, "RunLengthIndex", lambda data, sizes, groups: indexed.append(len(sizes)) or own(data, sizes, groups))
+    zero = np.zeros(10, np.int64)
+    row = pa.table({"doc_id": pa.array([None], pa.int64()), "rid": pa.array([None], pa.int64()), "data": [suffix._pack(ids, zero, zero, sizes, gram_at, data.tobytes())]})
+    spans = suffix._resolve((), row).to_pydict()
+    assert dict(zip(spans["doc_id"], map(lambda x: suffix.merged([x]).tolist(), spans["spans"]), strict=True)) == {i: [[0, 50]] for i in (7, 8, 9)}
+    assert max(indexed) <= 2  # half of the four; all ten before
+
+
+def test_statistics_of_patterns_that_are_left_early():
+    rng = np.random.default_rng(6)
+    part = lambda n: rng.integers(97, 99, n, dtype=np.uint8)
+    for _ in range(20):
+        own, sizes = part(400), rng.integers(20, 60, 8)
+        index = suffix.RunLengthIndex(own[: int(sizes.sum())], sizes, np.sort(rng.integers(0, 2, 8)) if _ % 2 else np.zeros(8, np.int64))
+        patterns = [np.concatenate([part(9), own[a : a + 20], part(9)]) for a in rng.integers(0, int(sizes.sum()) - 20, 12)]
+        of = np.zeros(12, np.int64)
+        data, lengths = np.concatenate(patterns), np.array(list(map(len, patterns)))
+        assert ((index.statistics(data, lengths, of) >= 15) == (index.statistics(data, lengths, of, 15) >= 15)).all()
+
+
+def test_chosen_grams_against_their_definition():
+    rng = np.random.default_rng(7)
+    for n in (49, 50, 51, 90, 700):
+        text = bytes(rng.integers(97, 99, n, dtype=np.uint8)) if n % 2 else b"ab" * (n // 2)
+        keys, place, first, last, sums = suffix.chosen(text)
+        at = np.arange(max(0, n - 19))
+        h = suffix.span_hash(sums, at, at + 20) if n >= 50 else []
+        least = [max(range(w, w + 31), key=lambda i: (-int(h[i] >> np.uint64(31)), i)) for w in range(n - 49)]
+        assert np.repeat(place, last - first + 1).tolist() == least and [int(h[i]) for i in place] == keys.tolist()
+
+
 def components(rows):
     sets = {}
     for i, t in rows:
