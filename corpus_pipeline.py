@@ -2,7 +2,7 @@
 near-duplicate group stays, bytes that repeat a smaller document's go, the rest is packed.
 
 Each stage works on all rows that its predecessor kept, written as Parquet and read again. All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. Before a stage the executors give back what memory their heaps have free.
 
 Defined results: a null text counts as empty (and is empty after ``cut_repeats``); rows with a null id go if they are toxic, else
 stay: they are in no group of near duplicates, lose no bytes and are packed under a null id. Repeated rows are
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.llm import jaccard, packing, suffix, toxicity
-from quadlake.llm.common import written
+from quadlake.llm.common import settle, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it is fitted on the labels of these documents."""
+    settle(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     # Columns are known by their places meanwhile, so that their names cannot clash with the score.
     names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
@@ -32,12 +33,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near duplicates."""
+    settle(spark)
     return jaccard.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat a smaller document's. A character that loses some of
     its bytes goes wholly; a document that loses all its text stays, with an empty one."""
+    settle(spark)
     names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_valid("kept"))
     kept = suffix.dedup(docs.toDF(*names)).withColumn("text", text)
@@ -60,6 +63,7 @@ def _valid(column: str):
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    settle(spark)
     return packing.pack(spark, docs)
 
 

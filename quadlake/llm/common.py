@@ -107,6 +107,14 @@ def tidy() -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage, upon which they give most of their free heap back to the system. A heap
+    grows with the garbage of all that a session ran before, and does not shrink of itself."""
+    n = 2 * spark.sparkContext.defaultParallelism  # tasks go to all executors that are free
+    collected = F.reflect(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collected.alias("collected")).write.format("noop").mode("overwrite").save()
+
+
 def slices(batch: pa.RecordBatch, rows: int = 512):
     """Small parts of a batch: what is held as Python objects at a time stays small."""
     for at in range(0, batch.num_rows, rows):

@@ -521,6 +521,20 @@ def test_pipeline(spark):
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
+def test_stages_begin_with_collected_heaps(spark, odd):
+    import corpus_pipeline
+
+    def full():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, odd)
+        assert full() > before, name
+
+
 ODD = "doc_id long, text string, lang string, n_chars long, score int, bits string, _d int, _flag int, spans int, kept string, component_id int"
 
 
