@@ -109,7 +109,8 @@ def tidy() -> None:
 
 def settle(spark: SparkSession) -> None:
     """Let the executors' JVMs collect their garbage, upon which they give most of their free heap back to the system. A heap
-    grows with the garbage of all that a session ran before, and does not shrink of itself."""
+    grows with the garbage of all that a session ran before, and does not shrink of itself. A process that a JVM starts is for a
+    moment seen with all of its memory, and Hadoop's local file system without native code runs chmod for each file it writes."""
     n = 2 * spark.sparkContext.defaultParallelism  # tasks go to all executors that are free
     collected = F.reflect(F.lit("java.lang.System"), F.lit("gc"))
     spark.range(0, n, 1, n).select(collected.alias("collected")).write.format("noop").mode("overwrite").save()

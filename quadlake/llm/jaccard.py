@@ -21,6 +21,9 @@ documents are worked on in blocks of two chunks, so that no task holds a hot ele
 Only texts of documents in pairs that passed are shuffled: a bitmap of fixed size, broadcast,
 lets few others through.
 
+Executors collect their heaps between the steps: the many small tables that follow a large step are then
+written by small processes (see ``settle``).
+
 Sets are compared by 64-bit hashes of shingles: two sets of n and m shingles have about
 n * m / 2**64 false common elements.
 
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadlake.llm.common import bitmap, flagged, forget, parallelism, prefix_hash, slices, span_hash, text_of, texts, written
+from quadlake.llm.common import bitmap, flagged, forget, parallelism, prefix_hash, settle, slices, span_hash, text_of, texts, written
 from quadlake.llm.components import components
 from quadlake.llm.shared import shared_keys
 
@@ -382,19 +385,23 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     least = written(known.groupBy(F.col("digest").alias("_digest")).agg(F.min("doc_id").alias("first")), "least-of-equal")
     same = written(known.join(least, F.col("digest") == F.col("_digest")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "rid"), "equal-sets")
     forget(least)
+    settle(docs.sparkSession)
     common = common_elements(source, words)
     told = shared_keys(source.where(F.col("doc_id").isNotNull()), _described(words, common, percent))
     stand = same.where("a = b").select(F.col("b").alias("_b"), F.col("rid").alias("_s")).distinct()
     kept = told.mapInArrow(_entries(percent), "doc_id long, rid long, n long, signature binary, keys array<bigint>")
     kept = kept.join(stand, (F.col("doc_id") == F.col("_b")) & (F.col("rid") == F.col("_s")), "left_semi").dropDuplicates(["doc_id", "rid"])
     entries = written(kept.drop("rid"), "entries")
+    settle(docs.sparkSession)
     roots = _roots(entries)
     pairs = written(_passing(_stars(entries, roots), entries, percent), "star-pairs")
     links = _linked(pairs, source, words, percent)
+    settle(docs.sparkSession)
     groups = components(links)
     tiles = _open_tiles(entries, groups)
     more = written(_passing(_between_groups(entries, groups, tiles, percent), entries, percent), "pairs")
     later = _linked(more, source, words, percent)
+    settle(docs.sparkSession)
     found = components(links.unionByName(later).unionByName(same.where("a <> b").select("a", "b")))
     forget(same, entries, roots, pairs, links, groups, tiles, more, later)
     return sizes.join(found, F.col("doc_id") == F.col("vertex"), "left").select("doc_id", "rid", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -535,6 +535,19 @@ def test_stages_begin_with_collected_heaps(spark, odd):
         assert full() > before, name
 
 
+def test_heaps_are_collected_between_steps(spark, docs, monkeypatch):
+    def full():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+    seen = []
+    written = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, tag: (seen.append((tag, full())), written(df, tag))[1])
+    jaccard.classes(docs).collect()
+    at = dict(reversed(seen))  # of each table the first time
+    assert at["equal-sets"] < at["entries"] < at["tiles"] and at["links"] < at["open-tiles"] and seen[-1][1] < full()
+
+
 ODD = "doc_id long, text string, lang string, n_chars long, score int, bits string, _d int, _flag int, spans int, kept string, component_id int"
 
 
