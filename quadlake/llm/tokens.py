@@ -2,7 +2,8 @@
 
 ``WordCache`` gives exactly the ids of the ``tokenizers`` library. The tokenizer drops
 white space and never lets a token cross it, so a text's ids are those of its
-white-space separated chunks in order; chunks repeat a lot and are encoded once for each
+white-space separated chunks in order. Chunks repeat a lot: Arrow numbers those of a few
+hundred texts, each distinct one is cut to words, and words are encoded once for each
 worker (the cache is emptied when it is full, which bounds its memory). That holds for
 texts of plain Latin characters without "<|"; any other text goes to the library whole.
 
@@ -24,21 +25,23 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from codecs import charmap_decode
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.llm.common import forget, scratch, slices, text_of, texts, written
 
-#: Characters for which NFC, lower-casing by character and white space agree everywhere.
-_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-˿]")
+#: Characters for which NFC, lower-casing by character and white space agree everywhere, and whose lower case is one of them.
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u02ff]")
 _LATIN = {k: "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-#: The tokenizer's words, for these characters.
-_WORD = re.compile("'(?:[stmd]|re|ve|ll)|[{L}]+|[{N}]|[^\\s{L}{N}]+".format(**_LATIN))
+#: The tokenizer's words, for these characters, and the ends of the lines they stand in.
+_WORDS = re.compile("'(?:[stmd]|re|ve|ll)|[{L}]+|[{N}]|[^\\s{L}{N}]+|\n".format(**_LATIN))
 
 _loaded: dict[str, WordCache] = {}
 
@@ -70,6 +73,12 @@ class _Index(dict):
         return i
 
 
+def _gathered(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` at ``starts`` in a row."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)]
+
+
 class ChunkStore:
     """Ids of text chunks, each encoded once; emptied when it holds more than ``most`` chunks."""
 
@@ -125,10 +134,10 @@ class ChunkStore:
 
 
 class WordCache(ChunkStore):
-    """Ids of texts by the ``tokenizers`` library, chunk by chunk.
+    """Ids of texts by the ``tokenizers`` library, word by word.
 
-    A chunk is cut to words as the library's pre-tokenizer does it, and the library's model
-    encodes each distinct word once.
+    Of the chunks of many texts each distinct one is cut to words, as the library's pre-tokenizer
+    does it, and the library's model encodes each distinct word once.
     """
 
     def __init__(self, path: str, most: int = 250_000):
@@ -137,25 +146,21 @@ class WordCache(ChunkStore):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        #: Latin characters as the byte level writes them.
-        self.written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x300) if chr(c) not in "\x85\xa0"}
+        #: Bytes of Latin characters as the byte level writes them; the others have no place in it.
+        written = {c: chr(c) for c in range(0x80)}
+        for c in range(0x80, 0x300):
+            written |= zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0], strict=True) if chr(c) not in "\x85\xa0" else ()
+        self.written = "".join(written.get(b, "\ufffe") for b in range(256))
         super().__init__(np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32, most)
 
     def clear(self) -> None:
         super().clear()
-        self.words: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.written))]
-        return ids
+        self.index["\n"] = 0  # ends a chunk; has no ids
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > self.most // 4:
-            self.words = {}
-        word = self._word
-        found = [[i for w in _WORD.findall(c) for i in word(w)] for c in chunks]
+        tokenize = self.model.tokenize
+        words = charmap_decode("\n".join(chunks).encode(), "strict", self.written)[0].split("\n")
+        found = [[t.id for t in tokenize(w)] for w in words]
         counts = np.fromiter(map(len, found), np.int32, len(found))
         return np.fromiter(chain.from_iterable(found), self.kind, int(counts.sum())), counts
 
@@ -165,12 +170,28 @@ class WordCache(ChunkStore):
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
+    def _latin(self, values: list[str]) -> list[np.ndarray]:
+        """The ids of each text; of plain texts in lower case."""
+        lists = pc.ascii_split_whitespace(pa.array(values, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        chunks = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar("\n", pa.large_string()))[0].as_py()
+        places = self.places([_WORDS.findall(f"{chunks}\n")])
+        counts = self.counts[places]
+        ids = _gathered(self.ids, self.starts[places], counts)
+        ends = np.cumsum(counts, dtype=np.int64)[places == 0]
+        starts = np.concatenate([[0], ends[:-1]])
+        coded = coded.indices.to_numpy()
+        counts = (ends - starts)[coded]
+        ids = _gathered(ids, starts[coded], counts)
+        cuts = np.concatenate([[0], np.cumsum(counts)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def batch(self, values: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.index) > self.most:
             self.clear()
         plain = [self._plain(x) for x in values]
-        out = self.joined([x.lower().split() if ok else [] for x, ok in zip(values, plain, strict=True)])
+        out = self._latin([x.lower() if ok else "" for x, ok in zip(values, plain, strict=True)])
         return [x if ok else self._whole(text) for text, ok, x in zip(values, plain, out, strict=True)]
 
 

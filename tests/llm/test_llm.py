@@ -299,6 +299,37 @@ def test_token_counts(spark, docs, tmp_path, monkeypatch):
     assert tokens.stored_counts(spark, cache, "another").isEmpty()
 
 
+def test_words_of_all_plain_characters():
+    cache = tokens.WordCache(tokens.vocabulary())
+    texts = [t for c in range(0x300) for t in (chr(c), f"a{chr(c)}B 1{chr(c)}", f"{chr(c)}{chr(c)} .{chr(c)}'s")]
+    assert [x.tolist() for x in cache.batch(texts)] == [cache.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert cache.batch([]) == [] and [x.tolist() for x in cache.batch(["", " \n"])] == [[], []]
+    # What lower-casing takes out of the range goes to the library whole.
+    assert all(cache._plain(t.lower()) for t in texts if cache._plain(t))
+
+
+def test_words_are_met_once(monkeypatch):
+    met, made = [], []
+
+    class Met(tokens._Index):
+        def __getitem__(self, word):
+            met.append(word)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(tokens, "_Index", Met)
+    cache = tokens.WordCache(tokens.vocabulary())
+    encode = cache.encode_chunks
+    monkeypatch.setattr(cache, "encode_chunks", lambda words: made.extend(words) or encode(words))
+    texts = ["one two. Two, (one)", "ONE\ttwo.  one!", " two, one\n"] * 50
+    for _ in range(2):
+        assert [x.tolist() for x in cache.batch(texts)] == [cache.library.encode(t, add_special_tokens=False).ids for t in texts]
+    # A repeated chunk is neither cut nor looked up again; a word is encoded once, whatever stands beside it.
+    assert len(met) < 2 * 25 and sorted(made) == sorted(set(made)) and {"one", "two"} < set(made) and not {"two.", "two,", "one!"} & set(made)
+    # A full store is emptied and gives the same ids.
+    small = tokens.WordCache(tokens.vocabulary(), most=2)
+    assert [x.tolist() for t in texts[:6] for x in small.batch([t])] == [cache.library.encode(t, add_special_tokens=False).ids for t in texts[:6]]
+
+
 def test_packing(spark, docs):
     library = tokens.WordCache(tokens.vocabulary()).library
     known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
