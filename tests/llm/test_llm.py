@@ -269,6 +269,26 @@ def test_pieces_against_the_library(spark, docs):
         pieces.BLOCK = whole
 
 
+def test_pieces_with_a_small_table_of_pairs(spark, monkeypatch):
+    """What is remembered of pairs is of one size, whatever the texts; pairs of one slot displace each other, and ids stay right."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()][:60] + ["你好 🎉 ﹏▁", "\0\0a \0", "a" * 3000]
+    for bits in (0, 6, 16):
+        monkeypatch.setattr(pieces, "PAIRS", bits)
+        own = pieces.Encoder(tokens.vocabulary("piece_bpe_32k.model"))
+        assert [x.tolist() for x in own.batch(texts)] == own.library.encode(texts)
+        assert own.pairs.nbytes == 4 << bits
+
+
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(8)
+    for n, letters, depth in ((1, 2, 48), (700, 2, 48), (3000, 1, 48), (3000, 200, 5), (3000, 2, 20)):
+        data = rng.integers(0, letters, n, dtype=np.uint8)
+        raw = data.tobytes() + bytes(depth)
+        part = [raw[i : i + depth] for i in range(n)]
+        order = pieces.suffix_array(data, depth).tolist()
+        assert sorted(order) == list(range(n)) and [part[i] for i in order] == sorted(part)
+
+
 def test_token_counts(spark, docs, tmp_path, monkeypatch):
     library = tokens.WordCache(tokens.vocabulary()).library
     odd = spark.createDataFrame([(20, "İ ΑΣ x² don\u2019t we\'LL"), (21, "a<|startoftext|>b"), (22, " One\ttwo "), (23, "one two"), (24, "one\u00a0two"), (25, "a <|x b"), (26, "A <|X B"), (27, "  ONE TWO"), (28, "Tab\x01\x7f "), (29, "tab\x01\x7f")], "doc_id long, text string")
