@@ -43,7 +43,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     settle(spark)
     names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(_valid("kept"))
-    kept = suffix.dedup(docs.toDF(*names)).withColumn("text", text)
+    kept = suffix.dedup(docs.toDF(*names), characters=True).withColumn("text", text)
     if "n_chars" in docs.columns:
         kept = kept.withColumn(names[docs.columns.index("n_chars")], F.length("text").cast("long"))
     return kept.select(*names).toDF(*docs.columns)

@@ -438,6 +438,18 @@ def merged(spans: list[bytes]) -> np.ndarray:
     return np.stack([s[new, 0], end[last]], 1)
 
 
+def of_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
+    """Spans of UTF-8 text, widened to the characters that they touch; in order, and they may meet."""
+    out = spans.copy()
+    if len(out):
+        inside = np.append((np.frombuffer(text, np.uint8) & 0xC0) == 0x80, False)  # of a character, after its first byte
+        inside[0] = False
+        for _ in range(3):
+            out[:, 0] -= inside[out[:, 0]]
+            out[:, 1] += inside[out[:, 1]]
+    return out
+
+
 def kept_bytes(text: bytes, spans: np.ndarray) -> bytes:
     if not len(spans):
         return text
@@ -459,8 +471,9 @@ def spans_of(docs: DataFrame) -> DataFrame:
     return out
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
+def dedup(docs: DataFrame, characters: bool = False) -> DataFrame:
+    """``docs`` with columns n_bytes, n_removed, n_spans and kept (the remaining bytes; with ``characters`` those of
+    characters that lose no byte)."""
     more = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = docs.drop(*more)
     # Columns are known by their places in here, so that their names cannot clash.
@@ -478,7 +491,10 @@ def dedup(docs: DataFrame) -> DataFrame:
                 raw = texts(part.column(text))
                 cut = [merged(s or []) for s in part.column("spans").to_pylist()]
                 kept = [kept_bytes(x, s) for x, s in zip(raw, cut, strict=True)]
-                out = [pa.array(map(len, raw), pa.int64()), pa.array([len(x) - len(y) for x, y in zip(raw, kept, strict=True)], pa.int64()), pa.array(map(len, cut), pa.int64()), pa.array(kept, pa.binary())]
+                out = [pa.array(map(len, raw), pa.int64()), pa.array([len(x) - len(y) for x, y in zip(raw, kept, strict=True)], pa.int64()), pa.array(map(len, cut), pa.int64())]
+                if characters:
+                    kept = [kept_bytes(x, of_characters(x, s)) for x, s in zip(raw, cut, strict=True)]
+                out.append(pa.array(kept, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *out], [*own, *more])
 
     kind = joined.drop("spans").schema

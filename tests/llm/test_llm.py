@@ -563,6 +563,20 @@ def test_cut_texts_keep_replacement_characters(spark):
     assert [r.t for r in df.select("i", corpus_pipeline._valid("text").alias("t")).orderBy("i").collect()] == [t for _, t in cut]
 
 
+def test_cut_texts_have_no_characters_of_two_halves(spark):
+    """What is left on the two sides of a cut is not read as a character that the text never had."""
+    import corpus_pipeline
+
+    words = " ".join(f"w{i}" for i in range(30))
+    # The second text shares the end of its first character, the words, and the begin of the next one.
+    rows = [(1, f"é{words}é"), (2, f"ĩ{words}ó"), (3, f"a\ufffdĩ{words}óz\ufffd"), (4, f"€{words}\U0001f389"), (5, f"b\u02ac{words}\U0001f38ac")]
+    assert b"\xc4" + b"\xb3" == "ĳ".encode()
+    out = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id: r.text for r in out} == {1: rows[0][1], 2: "", 3: "a\ufffdz\ufffd", 4: "€\U0001f389", 5: "bc"}
+    assert suffix.of_characters("aĩ€".encode(), np.array([[0, 2], [4, 5]])).tolist() == [[0, 3], [3, 6]]
+    assert suffix.of_characters(b"\x80" * 3, np.array([[0, 1]])).tolist() == [[0, 3]] and not len(suffix.of_characters(b"", np.zeros((0, 2), np.int64)))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
